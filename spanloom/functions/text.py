@@ -43,7 +43,7 @@ def _literal_array(values) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"^\s+|(?<!\s)\s+$", "")
 
 
 def squeezed(text: Column) -> Column:
@@ -93,7 +93,7 @@ def plain_sentences(text: Column) -> Column:
 def head_sentence(text: Column) -> Column:
     """The first run closed by . ! or ?, else the first line."""
     body = trimmed(text)
-    head = F.regexp_extract(body, r"([^.!?]+[.!?])", 1)
+    head = F.regexp_extract(body, r"^[.!?]*([^.!?]++[.!?])", 1)
     return trimmed(F.when(head != "", head).otherwise(F.element_at(F.split(body, "\n"), 1)))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import checked_broadcast
 from .stats import chunk_count, smoothed_idf
 
 # Fixed values.
@@ -138,7 +139,7 @@ def term_counts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """(chunk_id, term, tf) for wanted terms only; others die before the shuffle."""
     return (
         chunks.select("chunk_id", F.explode(T.folded_words(F.col("text"))).alias("term"))
-        .join(wanted.select("term").distinct(), "term", "left_semi")
+        .join(checked_broadcast(wanted.select("term").distinct()), "term", "left_semi")
         .groupBy("chunk_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -221,6 +222,11 @@ def confidence_status(queries: DataFrame, hits: DataFrame, floor: float = CONFID
     )
 
 
+def with_text(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Fetch the text of a few ranked rows: ids travel to the scan, not text to them."""
+    return chunks.select("chunk_id", "text").join(checked_broadcast(rows), "chunk_id")
+
+
 def rerank(hits: DataFrame) -> DataFrame:
     """Order hits(query, text) by best keyword share of any sentence, then id.
 
@@ -256,7 +262,7 @@ def weighted_query_terms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     asked = query_terms(queries)
     df = (
         chunks.select(F.explode(T.terms(F.col("text"))).alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
+        .join(checked_broadcast(asked.select("term").distinct()), "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .withColumn("idf", smoothed_idf(F.col("df"), chunk_count(chunks)))
@@ -279,7 +285,7 @@ def relevance_everywhere(chunks: DataFrame, weighted: DataFrame) -> DataFrame:
     parts = chunks.select(
         "chunk_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence", "body")
     ).select("chunk_id", "sentence", F.explode(T.terms(F.col("body"))).alias("term"))
-    return _best_share(parts.join(weighted, "term"))
+    return _best_share(parts.join(checked_broadcast(weighted), "term"))
 
 
 def _best_share(matches: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import checked_broadcast, durable
 from . import retrieval as R
 
 # Fixed values.
@@ -33,7 +34,7 @@ class Bundle:
 def edges_touching(seeds: DataFrame, edges: DataFrame, types=BUNDLE_EDGE_TYPES) -> DataFrame:
     """Edges with either endpoint among a query's seeds: two equi joins, not an OR."""
     wanted = edges.where(F.col("edge_type").isin(*types)).select(*_EDGE)
-    ids = seeds.select("query_id", "chunk_id")
+    ids = checked_broadcast(seeds.select("query_id", "chunk_id"))
     out = ids.join(wanted, ids.chunk_id == wanted.src).select("query_id", *_EDGE)
     into = ids.join(wanted, ids.chunk_id == wanted.dst).select("query_id", *_EDGE)
     return out.unionByName(into).distinct()
@@ -145,14 +146,20 @@ def evidence_bundle(
     queries: DataFrame, chunks: DataFrame, edges: DataFrame, hits: DataFrame,
     k_max: int = 6, delta: float = R.SEED_DELTA,
 ) -> Bundle:
-    """Seeds -> floors -> rerank -> edges -> neighbours -> pairs -> bundle."""
+    """Seeds -> floors -> rerank -> edges -> neighbours -> pairs -> bundle.
+
+    Hits, seeds and members hold a few rows per query and feed several joins, so
+    each is checkpointed instead of ranking the corpus again.
+    """
     asked = queries.select("query_id", "query")
-    texts = chunks.select("chunk_id", "text")
-    seeds = R.drop_irrelevant(
-        R.rerank(R.within_delta(hits, delta).join(asked, "query_id").join(texts, "chunk_id"))
-    ).select("query_id", "chunk_id", "rank", "dense_rank", "sparse_rank", "rrf_score")
+    floored = R.within_delta(durable(hits), delta).join(asked, "query_id")
+    seeds = durable(
+        R.drop_irrelevant(R.rerank(R.with_text(floored, chunks)))
+        .select("query_id", "chunk_id", "rank", "dense_rank", "sparse_rank", "rrf_score")
+    )
     touching = edges_touching(seeds, edges)
-    near = neighbours(seeds, touching).join(texts.select("chunk_id"), "chunk_id", "left_semi")
+    near = durable(neighbours(seeds, touching))
+    near = R.with_text(near, chunks).drop("text")
     empty = F.lit(None).cast("int")
     members = seeds.withColumn("is_seed", F.lit(True)).unionByName(
         near.select(
@@ -161,11 +168,13 @@ def evidence_bundle(
         )
     )
     scores = R.relevance_of(
-        members.select("query_id", "chunk_id").join(texts, "chunk_id"),
+        R.with_text(members.select("query_id", "chunk_id"), chunks),
         R.weighted_query_terms(asked, chunks),
     )
-    members = members.join(scores, ["query_id", "chunk_id"], "left").withColumn(
-        "relevant", F.coalesce("relevance", F.lit(0.0)) >= RELEVANCE_FLOOR
+    members = durable(
+        members.join(scores, ["query_id", "chunk_id"], "left").withColumn(
+            "relevant", F.coalesce("relevance", F.lit(0.0)) >= RELEVANCE_FLOOR
+        )
     )
     ids = members.select("query_id", "chunk_id")
     usable = (

@@ -1,4 +1,4 @@
 """All registered queries; importing an area registers what it holds."""
 
-from . import corpus  # noqa: F401
+from . import corpus, relating, search  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from ..session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,15 +19,25 @@ class Tables:
     """The given parquet tables and the corpus roles they play."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = prepare(spark), folder
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Documents, spread out when the files hold fewer splits than cores.
+
+        Text expressions are the dear part of most plans; a table with plenty of
+        splits is read as it is, without a shuffle.
+        """
+        rows, cores = self.table("documents"), self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
     @cached_property
     def chunks(self) -> DataFrame:
         """One chunk per document; the outlet is its source."""
-        return self.table("documents").select(
+        return self.documents.select(
             F.col("doc_id").cast("string").alias("chunk_id"),
             F.col("doc_id").cast("string").alias("doc_id"),
             "text",
@@ -38,7 +49,7 @@ class Tables:
     def lines(self) -> DataFrame:
         """One chunk per non-blank line of a document, id ``doc:line``."""
         return (
-            self.table("documents")
+            self.documents
             .select("doc_id", F.col("source").alias("outlet"), "lang",
                     F.posexplode(F.split("text", "\n")).alias("position", "text"))
             .where(F.trim("text") != "")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
-    return (
+    return prepare(
         SparkSession.builder.master(f"local[{cores}]")
         .appName("spanloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -22,6 +25,16 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Turn off the planner's reuse of a union's child partitioning.
+
+    On Spark 4.1.2 an adaptive plan can coalesce the two sides of a union apart
+    and still skip the shuffle above it, which leaves duplicates behind.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative plan with a reliable checkpoint.
 
@@ -38,3 +51,9 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spanloom-ckpt-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast once it is counted to hold at most ``rows``
+    narrow rows; a larger one is returned as it is and joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
