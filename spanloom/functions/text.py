@@ -33,7 +33,8 @@ CALENDAR_WORDS = (
 
 _NOT_TOKEN = "[^a-z0-9]+"
 # One trailing "s" of a token longer than three letters whose neighbour is not "s".
-_PLURAL_S = "(?<=[a-z0-9]{2}[a-rt-z0-9])s(?![a-z0-9])"
+_PLURAL_S = "s(?![a-z0-9])(?<=[a-z0-9]{2}[a-rt-z0-9]s)"
+_CLAIM_STOP = "(?<![a-z0-9])(?:" + "|".join(CLAIM_STOPWORDS) + ")(?![a-z0-9])"
 _SENTENCE_GAP = r"(?<=[.!?])\s+|(?<=—)\s+"
 _PLAIN_SENTENCE_GAP = r"(?<=[.!?])\s+"
 
@@ -114,15 +115,23 @@ def lead_anchor(text: Column) -> Column:
 
 def claim_words(text: Column) -> Column:
     """Tokens minus claim stopwords; repeats count."""
-    stop = _literal_array(CLAIM_STOPWORDS)
-    return F.filter(words(text), lambda w: ~F.array_contains(stop, w))
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), _CLAIM_STOP, " "), _NOT_TOKEN), "")
+
+
+def word_share(mine: Column, theirs: Column) -> Column:
+    """Share of ``mine`` (with repeats) found in ``theirs``.
+
+    The hashed intersection is no longer than the claim, so looking every word
+    up in it stays cheap however long the chunk is.
+    """
+    both = F.array_intersect(mine, theirs)
+    hits = F.size(F.filter(mine, lambda w: F.array_contains(both, w)))
+    return F.when(F.size(mine) > 0, hits / F.size(mine)).otherwise(F.lit(0.0))
 
 
 def overlap_share(claim: Column, chunk: Column) -> Column:
     """Share of the claim's content words (with repeats) the chunk contains."""
-    mine, theirs = claim_words(claim), F.array_distinct(claim_words(chunk))
-    hits = F.size(F.filter(mine, lambda w: F.array_contains(theirs, w)))
-    return F.when(F.size(mine) > 0, hits / F.size(mine)).otherwise(F.lit(0.0))
+    return word_share(claim_words(claim), claim_words(chunk))
 
 
 def best_sentence_hits(text: Column, keys: Column) -> Column:
@@ -165,10 +174,6 @@ def _marked(text: Column) -> Column:
     return F.concat(F.lit(_ENTRY), gap)
 
 
-def _occurrences(text: Column) -> Column:
-    return F.regexp_extract_all(_marked(text), F.lit("(" + _ENTRY + "*[A-Za-z0-9]+)"), 1)
-
-
 def _bare(occurrence: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(occurrence, _ENTRY, "")), _PLURAL_S, "")
 
@@ -185,18 +190,31 @@ def _without_calendar(tokens: Column) -> Column:
     return F.array_except(tokens, _literal_array(CALENDAR_WORDS))
 
 
-def anchor_terms(text: Column) -> Column:
+def notable_occurrences(text: Column) -> Column:
+    """Capitalised or numeric word occurrences, each still bearing its marks."""
+    return F.regexp_extract_all(
+        _marked(text),
+        F.lit(f"(?:{_ENTRY}+|(?<![A-Za-z0-9{_ENTRY}]))(?:[A-Z][A-Za-z0-9]*|[0-9]{{2,}}(?![A-Za-z0-9]))"),
+        0,
+    )
+
+
+def anchors_among(occurrences: Column) -> Column:
     """Folded tokens with an entity-grade occurrence."""
-    graded = F.filter(_occurrences(text), _entity_grade)
-    return _without_calendar(F.transform(graded, _bare))
+    return _without_calendar(F.transform(F.filter(occurrences, _entity_grade), _bare))
 
 
-def capital_terms(text: Column) -> Column:
+def capitals_among(occurrences: Column) -> Column:
     """Folded tokens with a capitalised or entity-grade occurrence."""
-    graded = F.filter(
-        _occurrences(text), lambda o: _entity_grade(o) | o.rlike(f"^{_ENTRY}*[A-Z]")
-    )
-    return _without_calendar(F.transform(graded, _bare))
+    return _without_calendar(F.transform(occurrences, _bare))
+
+
+def anchor_terms(text: Column) -> Column:
+    return anchors_among(notable_occurrences(text))
+
+
+def capital_terms(text: Column) -> Column:
+    return capitals_among(notable_occurrences(text))
 
 
 # --- citations ---------------------------------------------------------------

@@ -59,17 +59,18 @@ def verified(
     evidence: query_id, chunk_id, place, text, node.  ``score`` may be any Column
     over claim_text and text (an entailment UDF, say); word overlap by default.
     """
-    scored = score if score is not None else T.overlap_share(F.col("claim_text"), F.col("text"))
+    scored = score if score is not None else T.word_share(F.col("mine"), F.col("theirs"))
+    told = claims.withColumns({"mine": T.claim_words(F.col("claim_text")), "flat_claim": T.squeezed(F.col("claim_text"))})
+    seen = evidence.withColumns({"theirs": F.array_distinct(T.claim_words(F.col("text"))), "flat_text": T.squeezed(F.col("text"))})
     rows = (
-        claims.join(evidence, "query_id", "left")
+        told.join(seen, "query_id", "left")
         .withColumn("cite_place", F.array_position("cited", F.col("chunk_id")).cast("int"))
         .withColumn("is_cited", F.coalesce(F.col("cite_place") > 0, F.lit(False)))
         .withColumn("score", F.round(F.coalesce(scored, F.lit(0.0)), 9))
         .withColumn(
             "verbatim",
             F.col("is_cited") & (F.col("span_type") == "EXACT")
-            & (T.squeezed(F.col("claim_text")) != "")
-            & F.contains(T.squeezed(F.col("text")), T.squeezed(F.col("claim_text"))),
+            & (F.col("flat_claim") != "") & F.contains("flat_text", "flat_claim"),
         )
     )
     keys = ["query_id", "claim_no"]
@@ -148,14 +149,15 @@ def query_scores(results: DataFrame, claims: DataFrame) -> DataFrame:
     claims: arm, query_id, claim_text, verdict, matched_chunk_id, node_scope,
     span_type, cited.
     """
-    facts = results.select("arm", "query_id", "query", "gold", "counterfactual_answer")
+    facts = results.select("arm", "query_id", "gold", "counterfactual_answer", T.claim_words(F.col("query")).alias("asked"))
     graded = F.col("verdict") != "REFUSAL"
     supported = F.col("verdict") == "SUPPORTED"
-    overlap = T.overlap_share(F.col("claim_text"), F.col("query"))
+    overlap = F.col("overlap")
     hits_gold = F.arrays_overlap("gold", "cited")
     answer = F.lower(F.trim(F.coalesce("counterfactual_answer", F.lit(""))))
     tally = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("bigint"))
-    per_query = claims.join(facts, ["arm", "query_id"]).groupBy("arm", "query_id").agg(
+    told = claims.join(facts, ["arm", "query_id"]).withColumn("overlap", T.word_share(T.claim_words(F.col("claim_text")), F.col("asked")))
+    per_query = told.groupBy("arm", "query_id").agg(
         tally(graded).alias("graded"),
         tally(supported).alias("supported"),
         tally(F.col("verdict") == "UNSUPPORTED").alias("unsupported"),

@@ -96,9 +96,10 @@ def forbidden_starts(sentences: DataFrame, divergent: DataFrame) -> DataFrame:
 
 def start_scores(sentences: DataFrame, queries: DataFrame) -> DataFrame:
     """Keyword share of every sentence for its own query."""
-    keys = T.keywords(F.col("query"))
+    keys = F.col("keys")
     hits = F.size(F.array_intersect(T.words(F.col("sentence")), keys))
-    return sentences.join(queries.select("query_id", "query"), "query_id").select(
+    asked = queries.select("query_id", T.keywords(F.col("query")).alias("keys"))
+    return sentences.join(asked, "query_id").select(
         *_KEY, "sentence", "word_start", "word_end",
         F.round(F.when(F.size(keys) > 0, hits / F.size(keys)).otherwise(F.lit(0.0)), 9).alias("score"),
     )
@@ -231,4 +232,5 @@ def quoted_answers(
         .join(mode.select("query_id", (F.col("mode") == "divergent").alias("divergent")), "query_id")
         .withColumn("groups", F.coalesce("groups", F.array().cast("array<array<int>>")))
     )
-    return rows.groupBy("query_id").applyInPandas(_quote, ANSWER_SCHEMA)
+    tasks = rows.sparkSession.sparkContext.defaultParallelism     # few bytes but slow rows: keep tasks apart
+    return rows.repartition(tasks, "query_id").groupBy("query_id").applyInPandas(_quote, ANSWER_SCHEMA)

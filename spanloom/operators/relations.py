@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import quantities as Q
 from ..functions import text as T
-from .stats import chunk_count, distinct_contents, postings, rare_ceiling, smoothed_idf
+from ..session import checked_broadcast, durable
+from .stats import HEAVY_SHARE, chunk_count, distinct_contents, joined_df, postings, rare_ceiling, smoothed_idf
 
 # Fixed values.
 RELATEDNESS_FLOOR = 0.20
@@ -28,7 +29,7 @@ CURATED_CONFIDENCE = 0.95
 NLI_THRESHOLD = 0.5
 GRAPH_RELATIONS = ("contradicts", "supersedes")
 
-HEAVY_SHARE = 10_000     # at most this many terms can hold 1/HEAVY_SHARE of all postings each
+SUFFIX_SHARE = 0.6       # how much of the mass to be shared may lie outside the prefix
 
 
 @dataclass(frozen=True)
@@ -50,8 +51,9 @@ def _graded_postings(chunks: DataFrame) -> DataFrame:
     """(chunk_id, term, grade): 2 entity-grade, 1 capitalised, 0 neither."""
     text = F.col("text")
     rows = chunks.select(
-        "chunk_id", T.terms(text).alias("all"),
-        T.anchor_terms(text).alias("anchor"), T.capital_terms(text).alias("capital"),
+        "chunk_id", T.terms(text).alias("all"), T.notable_occurrences(text).alias("notable")
+    ).select(
+        "chunk_id", "all", T.anchors_among(F.col("notable")).alias("anchor"), T.capitals_among(F.col("notable")).alias("capital")
     )
     tag = lambda terms, grade: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(grade).alias("grade")))
     cells = F.concat(
@@ -113,9 +115,9 @@ def weighted_terms(chunks: DataFrame) -> DataFrame:
         .agg(F.sum("copies").alias("df"))
     )
     n = chunk_count(chunks)
+    rows = contents.select("chunk_id", "copies", F.explode(T.terms(F.col("text"))).alias("term"))
     return (
-        contents.select("chunk_id", "copies", F.explode(T.terms(F.col("text"))).alias("term"))
-        .join(df, "term")
+        joined_df(rows, df)
         .groupBy("chunk_id", "copies")
         .agg(
             F.sum(smoothed_idf(F.col("df"), n)).alias("mass"),
@@ -142,17 +144,24 @@ def _prefix(docs: DataFrame, floor: float) -> DataFrame:
 def related_pairs(chunks: DataFrame, floor: float = RELATEDNESS_FLOOR) -> DataFrame:
     """Content pairs whose shared IDF mass reaches ``floor`` of the lighter mass.
 
-    Exact: if the shared mass is at least floor * mass(lighter), the two share a
-    term of the lighter one's prefix.  Copies are folded first, each pair carries
-    both copy counts, so a hot group of copies costs one row, not its square.
+    Exact: the commonest terms of the lighter side, less than SUFFIX_SHARE of the
+    mass it has to share, are left out of the join; a pair that reaches the floor
+    must then share the rest of that mass inside the prefix.  Only pairs that do
+    are measured in full.  Copies are folded first, each pair carries both copy
+    counts, so a hot group of copies costs one row, not its square.
     """
-    docs = weighted_terms(chunks)
-    light = _prefix(docs, floor).withColumnsRenamed({"chunk_id": "light", "mass": "light_mass"})
+    docs = durable(weighted_terms(chunks))
+    light = _prefix(docs, floor * SUFFIX_SHARE).withColumnsRenamed({"chunk_id": "light", "mass": "light_mass"})
     heavy = docs.select(
         F.col("chunk_id").alias("heavy"), F.col("mass").alias("heavy_mass"), F.explode("tags").alias("tag")
     )
     ordered = F.struct("light_mass", "light") < F.struct("heavy_mass", "heavy")
-    candidates = light.join(heavy, "tag").where(ordered).select("light", "heavy").distinct()
+    n = chunk_count(chunks)
+    found = light.join(heavy, "tag").where(ordered).groupBy("light", "heavy").agg(
+        F.sum(_idf_of_tag(F.col("tag"), n)).alias("found"), F.first("light_mass").alias("need")
+    )
+    enough = F.col("found") >= F.col("need") * floor * (1 - SUFFIX_SHARE) * (1 - 1e-9)
+    candidates = found.where(enough).select("light", "heavy")
     side = lambda p: docs.select(*[F.col(c).alias(f"{p}_{c}") for c in docs.columns])
     both = candidates.join(side("l"), F.col("light") == F.col("l_chunk_id")).join(
         side("h"), F.col("heavy") == F.col("h_chunk_id")
@@ -181,13 +190,11 @@ def relatedness_counts(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
 def pair_relatedness(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Relatedness of given (src, dst) pairs; linear in the pairs."""
     n = chunk_count(chunks)
+    pairs = durable(pairs)
     ids = pairs.select(F.explode(F.array("src", "dst")).alias("chunk_id")).distinct()
     df = postings(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = (
-        postings(chunks.join(ids, "chunk_id", "left_semi"))
-        .join(df, "term")
-        .withColumn("idf", smoothed_idf(F.col("df"), n))
-    )
+    rows = postings(chunks.join(checked_broadcast(ids), "chunk_id", "left_semi"))
+    weighted = joined_df(rows, df).withColumn("idf", smoothed_idf(F.col("df"), n))
     docs = weighted.groupBy("chunk_id").agg(
         F.sum("idf").alias("mass"), F.collect_list(F.concat_ws("|", "term", "df")).alias("tags")
     )

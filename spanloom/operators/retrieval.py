@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import checked_broadcast
+from ..session import checked_broadcast, durable
 from .stats import chunk_count, smoothed_idf
 
 # Fixed values.
@@ -136,8 +136,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def term_counts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf) for wanted terms only; others die before the shuffle."""
-    return (
+    """(chunk_id, term, tf) for wanted terms only; others die before the shuffle.
+
+    Kept in the checkpoint folder: document frequencies, candidates and scores
+    all come from these few rows, so the texts are scanned once.
+    """
+    return durable(
         chunks.select("chunk_id", F.explode(T.folded_words(F.col("text"))).alias("term"))
         .join(checked_broadcast(wanted.select("term").distinct()), "term", "left_semi")
         .groupBy("chunk_id", "term")
@@ -145,14 +149,17 @@ def term_counts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def lexical_leg(queries: DataFrame, chunks: DataFrame, k: int, require_all: bool = True) -> DataFrame:
+def lexical_leg(
+    queries: DataFrame, chunks: DataFrame, k: int, require_all: bool = True, counts: DataFrame | None = None
+) -> DataFrame:
     """Ranked lexical hits, score = sum of idf * (1 + ln tf) over query terms.
 
     With ``require_all`` a chunk must hold every query term: candidates come from
     the postings of each query's rarest term, the other terms are then looked up.
+    ``counts`` takes the ``term_counts`` of the query set when already at hand.
     """
     asked = query_terms(queries)
-    counts = term_counts(chunks, asked)
+    counts = term_counts(chunks, asked) if counts is None else counts
     weights = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = asked.join(weights, "term").withColumn(
         "idf", smoothed_idf(F.col("df"), chunk_count(chunks))
@@ -199,8 +206,11 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
     return top_per_query(scored, k, F.col("rrf_score").desc(), F.col("chunk_id"))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 15, require_all: bool = True) -> DataFrame:
-    return fuse(dense_leg(queries, vectors, k), lexical_leg(queries, chunks, k, require_all), k)
+def retrieve(
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 15, require_all: bool = True,
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    return fuse(dense_leg(queries, vectors, k), lexical_leg(queries, chunks, k, require_all, counts), k)
 
 
 def within_delta(hits: DataFrame, delta: float = SEED_DELTA, score: str = "rrf_score") -> DataFrame:
@@ -232,8 +242,8 @@ def rerank(hits: DataFrame) -> DataFrame:
 
     A query without keywords keeps its fused order.
     """
-    keys = T.keywords(F.col("query"))
-    scored = hits.withColumn(
+    keys = F.col("keys")     # a column of its own: a lambda would parse the query per sentence
+    scored = hits.withColumn("keys", T.keywords(F.col("query"))).withColumn(
         "sentence_score", F.round(T.best_sentence_score(F.col("text"), keys), 9)
     )
     order = W.partitionBy("query_id").orderBy(
@@ -241,7 +251,7 @@ def rerank(hits: DataFrame) -> DataFrame:
         F.when(F.size(keys) == 0, F.col("rank")),
         F.col("chunk_id"),
     )
-    return scored.withColumn("rank", F.row_number().over(order))
+    return scored.withColumn("rank", F.row_number().over(order)).drop("keys")
 
 
 def drop_irrelevant(hits: DataFrame) -> DataFrame:
@@ -257,13 +267,16 @@ def drop_irrelevant(hits: DataFrame) -> DataFrame:
 # --- IDF-weighted relevance --------------------------------------------------
 
 
-def weighted_query_terms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Query terms the corpus knows, with idf and the query's total mass."""
+def weighted_query_terms(queries: DataFrame, chunks: DataFrame, holders: DataFrame | None = None) -> DataFrame:
+    """Query terms the corpus knows, with idf and the query's total mass.
+
+    ``holders`` are distinct (chunk_id, term) rows of the query terms, the
+    ``term_counts`` of the query set by default.
+    """
     asked = query_terms(queries)
+    holders = term_counts(chunks, asked) if holders is None else holders
     df = (
-        chunks.select(F.explode(T.terms(F.col("text"))).alias("term"))
-        .join(checked_broadcast(asked.select("term").distinct()), "term", "left_semi")
-        .groupBy("term")
+        holders.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .withColumn("idf", smoothed_idf(F.col("df"), chunk_count(chunks)))
     )
@@ -280,11 +293,15 @@ def relevance_of(members: DataFrame, weighted: DataFrame) -> DataFrame:
     return _best_share(parts.join(weighted, ["query_id", "term"]))
 
 
-def relevance_everywhere(chunks: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Relevance of every chunk that matches any query at all."""
-    parts = chunks.select(
-        "chunk_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence", "body")
-    ).select("chunk_id", "sentence", F.explode(T.terms(F.col("body"))).alias("term"))
+def relevance_everywhere(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Relevance of every chunk that matches any query at all, in one text scan."""
+    wanted = checked_broadcast(query_terms(queries).select("term").distinct())
+    parts = durable(
+        chunks.select("chunk_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence", "body"))
+        .select("chunk_id", "sentence", F.explode(T.terms(F.col("body"))).alias("term"))
+        .join(wanted, "term", "left_semi")
+    )
+    weighted = weighted_query_terms(queries, chunks, parts.select("chunk_id", "term").distinct())
     return _best_share(parts.join(checked_broadcast(weighted), "term"))
 
 

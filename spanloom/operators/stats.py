@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..session import durable
+
+HEAVY_SHARE = 10_000
 
 
 def postings(chunks: DataFrame, keep: DataFrame | None = None) -> DataFrame:
@@ -58,18 +61,19 @@ def distinct_contents(chunks: DataFrame) -> DataFrame:
     )
 
 
-def weighted_contents(contents: DataFrame, n: Column) -> DataFrame:
-    """Contents with their terms and IDF mass; df counts every copy."""
-    df = (
-        contents.select("copies", F.explode(T.terms(F.col("text"))).alias("term"))
-        .groupBy("term")
-        .agg(F.sum("copies").alias("df"))
-        .withColumn("idf", smoothed_idf(F.col("df"), n))
-    )
-    return (
-        contents.select("chunk_id", F.explode(T.terms(F.col("text"))).alias("term"))
-        .join(df, "term")
-    )
+def joined_df(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """Add each term's df to token rows without a hot shuffle key.
+
+    At most HEAVY_SHARE terms can hold 1/HEAVY_SHARE of all postings each: those
+    are broadcast, the others meet their df in a shuffle where no key is large.
+    """
+    df = durable(df)
+    bound = df.agg(F.sum("df")).scalar() / HEAVY_SHARE
+    heavy = F.broadcast(df.where(F.col("df") > bound).withColumnRenamed("df", "heavy_df"))
+    marked = rows.join(heavy, "term", "left")
+    common = marked.where(F.col("heavy_df").isNotNull()).withColumnRenamed("heavy_df", "df")
+    other = marked.where(F.col("heavy_df").isNull()).drop("heavy_df").join(df.where(F.col("df") <= bound), "term")
+    return common.unionByName(other)
 
 
 def unit_mean(rows: DataFrame, key: str, vector: str) -> DataFrame:

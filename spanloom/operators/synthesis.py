@@ -29,6 +29,7 @@ class Bundle:
     edges: DataFrame     # query_id, src, dst, edge_type
     pairs: DataFrame     # query_id, src, dst, edge_type
     mode: DataFrame      # query_id, mode
+    texts: DataFrame     # chunk_id, text of every chunk that may be in a bundle
 
 
 def edges_touching(seeds: DataFrame, edges: DataFrame, types=BUNDLE_EDGE_TYPES) -> DataFrame:
@@ -144,22 +145,25 @@ def blunt_mode(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 def evidence_bundle(
     queries: DataFrame, chunks: DataFrame, edges: DataFrame, hits: DataFrame,
-    k_max: int = 6, delta: float = R.SEED_DELTA,
+    k_max: int = 6, delta: float = R.SEED_DELTA, counts: DataFrame | None = None,
 ) -> Bundle:
     """Seeds -> floors -> rerank -> edges -> neighbours -> pairs -> bundle.
 
     Hits, seeds and members hold a few rows per query and feed several joins, so
-    each is checkpointed instead of ranking the corpus again.
+    each is checkpointed instead of ranking the corpus again.  The texts of all
+    hits and of whatever their edges reach are fetched in one scan.
     """
     asked = queries.select("query_id", "query")
-    floored = R.within_delta(durable(hits), delta).join(asked, "query_id")
+    floored = durable(R.within_delta(hits, delta))
+    reach = durable(edges_touching(floored, edges))
+    ids = floored.select("chunk_id").unionByName(neighbours(floored, reach).select("chunk_id")).distinct()
+    texts = durable(R.with_text(durable(ids), chunks))
     seeds = durable(
-        R.drop_irrelevant(R.rerank(R.with_text(floored, chunks)))
+        R.drop_irrelevant(R.rerank(R.with_text(floored, texts).join(asked, "query_id")))
         .select("query_id", "chunk_id", "rank", "dense_rank", "sparse_rank", "rrf_score")
     )
-    touching = edges_touching(seeds, edges)
-    near = durable(neighbours(seeds, touching))
-    near = R.with_text(near, chunks).drop("text")
+    touching = durable(edges_touching(seeds, reach.select(*_EDGE).distinct()))
+    near = neighbours(seeds, touching).join(texts.select("chunk_id"), "chunk_id", "left_semi")
     empty = F.lit(None).cast("int")
     members = seeds.withColumn("is_seed", F.lit(True)).unionByName(
         near.select(
@@ -168,8 +172,8 @@ def evidence_bundle(
         )
     )
     scores = R.relevance_of(
-        R.with_text(members.select("query_id", "chunk_id"), chunks),
-        R.weighted_query_terms(asked, chunks),
+        R.with_text(members.select("query_id", "chunk_id"), texts),
+        R.weighted_query_terms(asked, chunks, counts),
     )
     members = durable(
         members.join(scores, ["query_id", "chunk_id"], "left").withColumn(
@@ -181,6 +185,6 @@ def evidence_bundle(
         touching.join(ids.withColumnRenamed("chunk_id", "src"), ["query_id", "src"], "left_semi")
         .join(ids.withColumnRenamed("chunk_id", "dst"), ["query_id", "dst"], "left_semi")
     )
-    kept = prioritised(members, linked_pairs(members, usable), k_max, delta)
+    kept = durable(prioritised(members, linked_pairs(members, usable), k_max, delta))
     pairs = linked_pairs(kept, usable)
-    return Bundle(boosted(kept, pairs), usable, pairs, mode_of(asked, pairs))
+    return Bundle(boosted(kept, pairs), usable, pairs, mode_of(asked, pairs), texts)

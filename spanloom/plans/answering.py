@@ -153,7 +153,7 @@ def connective_modes(t):
 def extractive_answers(t):
     """Verbatim answers to every benchmark query from its evidence bundle."""
     bundle = search.bundle_of(t)
-    hits = durable(R.with_text(bundle.hits.select("query_id", "chunk_id", "position"), t.chunks))
+    hits = R.with_text(bundle.hits.select("query_id", "chunk_id", "position"), bundle.texts)
     rows = durable(V.sentence_rows(hits))
     scores = V.start_scores(rows, t.queries)
     zones = durable(V.divergence_starts(rows, bundle.pairs, scores))

@@ -135,7 +135,7 @@ routes AS (
 def routes(t):
     """Best relevance anywhere decides whether the local node answers; a node's
     own best relevance decides what it replies."""
-    scores = R.relevance_everywhere(t.chunks, R.weighted_query_terms(t.queries, t.chunks))
+    scores = R.relevance_everywhere(t.chunks, t.queries)
     top = scores.groupBy("query_id").agg(F.max("relevance").alias("top"))
     best = F.coalesce("top", F.lit(0.0))
     local = t.queries.join(top, "query_id", "left").select(

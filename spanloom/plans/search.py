@@ -141,14 +141,14 @@ SELECT query_id, chunk_id, relevance, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) AS rank FROM relevance) x
 WHERE rank <= {K}""")
 def idf_relevance_topk(t):
-    scored = R.relevance_everywhere(t.chunks, R.weighted_query_terms(t.queries, t.chunks))
+    scored = R.relevance_everywhere(t.chunks, t.queries)
     return R.top_per_query(scored, K, F.col("relevance").desc(), F.col("chunk_id"))
 
 
 @query("divergence_relevant", D.with_(*RELEVANCE_ALL) + """
 SELECT query_id, count(*) AS n_relevant FROM relevance WHERE relevance >= 0.13 GROUP BY 1""")
 def divergence_relevant(t):
-    scored = R.relevance_everywhere(t.chunks, R.weighted_query_terms(t.queries, t.chunks))
+    scored = R.relevance_everywhere(t.chunks, t.queries)
     return scored.where(F.col("relevance") >= S.RELEVANCE_FLOOR).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n_relevant")
     )
@@ -276,12 +276,13 @@ def label_precision(t):
 # --- bundles -----------------------------------------------------------------
 
 
-def _seed_hits(t):
-    return R.retrieve(t.vector_queries, t.chunks, t.vectors, K_SEED, require_all=False)
+def _seed_hits(t, counts=None):
+    return R.retrieve(t.vector_queries, t.chunks, t.vectors, K_SEED, require_all=False, counts=counts)
 
 
 def bundle_of(t) -> S.Bundle:
-    return S.evidence_bundle(t.queries, t.chunks, t.edges, _seed_hits(t))
+    counts = R.term_counts(t.chunks, R.query_terms(t.queries))
+    return S.evidence_bundle(t.queries, t.chunks, t.edges, _seed_hits(t, counts), counts=counts)
 
 
 @query("edge_expansion", D.with_(*BUNDLE) + "SELECT query_id, src, dst, edge_type FROM touching")
