@@ -290,7 +290,7 @@ def relevance_of(members: DataFrame, weighted: DataFrame) -> DataFrame:
     parts = members.select(
         "query_id", "chunk_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence", "body")
     ).select("query_id", "chunk_id", "sentence", F.explode(T.terms(F.col("body"))).alias("term"))
-    return _best_share(parts.join(weighted, ["query_id", "term"]))
+    return _best_share(parts.join(checked_broadcast(weighted), ["query_id", "term"]))
 
 
 def relevance_everywhere(chunks: DataFrame, queries: DataFrame) -> DataFrame:
