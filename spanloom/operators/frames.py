@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import hashing as H
 from ..functions import vectors as V
 
 # The 4-way training classes and the 3-way labels a judge may give.
@@ -84,21 +83,24 @@ def class_recalls(predicted: DataFrame) -> DataFrame:
     return per.unionByName(mean).withColumn("recall", F.round("recall", 6))
 
 
-def permutation_baseline(predicted: DataFrame, rounds: int = 20) -> DataFrame:
+def permutation_baseline(predicted: DataFrame, rounds: int = 20, seed: int = 0) -> DataFrame:
     """Balanced accuracy when predictions are dealt out at random, per round.
 
-    The shuffle orders predictions and rows by two hashes and matches them by
-    place within one round, so rounds run side by side.
+    A random deal is fixed by how many of each prediction every class receives,
+    so only the class counts leave Spark, never the rows.
     """
-    rows = predicted.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    key = lambda salt: H.content_hash(F.concat_ws("|", F.lit(salt), "round", "src", "dst"))
-    place = lambda salt: F.row_number().over(W.partitionBy("round").orderBy(key(salt)))
-    left = rows.select("round", "label", place("rows").alias("place"))
-    right = rows.select("round", "predicted", place("deal").alias("place"))
-    per = left.join(right, ["round", "place"]).groupBy("round", "label").agg(
-        F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("recall")
-    )
-    return per.groupBy("round").agg(F.round(F.avg("recall"), 6).alias("balanced_accuracy"))
+    tally = lambda c: {r[c]: r["count"] for r in predicted.groupBy(c).count().collect()}     # one row per class
+    labels, said = tally("label"), tally("predicted")
+    names = sorted(set(labels) | set(said))
+    rng, rows = np.random.default_rng(seed), []
+    for number in range(rounds):
+        left, recalls = np.array([said.get(n, 0) for n in names]), []
+        for name, size in sorted(labels.items()):
+            dealt = rng.multivariate_hypergeometric(left, size)
+            left = left - dealt
+            recalls.append(float(dealt[names.index(name)] / size))
+        rows.append((number, round(sum(recalls) / len(recalls), 6)))
+    return predicted.sparkSession.createDataFrame(rows, "round int, balanced_accuracy double")
 
 
 def recall_by_origin(predicted: DataFrame, origins: DataFrame) -> DataFrame:
