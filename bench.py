@@ -18,7 +18,7 @@ from spanloom.session import local_session  # noqa: E402
 HEADLINE = (
     "token_stats", "corpus_idf", "content_groups", "merkle_buckets", "anchor_sync_plan", "peer_terms",
     "idf_relevance_topk", "dense_topk", "lexical_topk_all", "rrf_fusion", "bundle_hits", "extractive_answers",
-    "story_pairs", "relation_assessments", "admission_codes", "verified_claims", "run_metrics",
+    "story_pairs", "relation_assessments", "corpus_scan", "admission_codes", "verified_claims", "run_metrics",
     "label_fold", "dataset_rows", "divergence_zones", "calibrated_thresholds", "rank_peers",
 )
 

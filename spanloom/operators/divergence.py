@@ -198,6 +198,20 @@ def _quote(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["query_id", "span_no", "text", "span_type", "cited", "guidance"])
 
 
+def rendered(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """One line per query: spans joined by a bar, each with its source numbers."""
+    cites = answers.select("query_id", "span_no", "text", F.explode("cited").alias("chunk_id")).join(
+        hits.select("query_id", "chunk_id", "position"), ["query_id", "chunk_id"]
+    )
+    spans = cites.groupBy("query_id", "span_no", "text").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("position")), lambda n: F.format_string("[%d]", n)), " ").alias("marks")
+    )
+    line = F.concat_ws(" ", "text", "marks")
+    return spans.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("span_no", line.alias("line")))).alias("cells")
+    ).select("query_id", F.array_join(F.transform("cells", lambda c: c["line"]), " | ").alias("answer"))
+
+
 def quoted_answers(
     hits: DataFrame, sentences: DataFrame, scores: DataFrame, pairs: DataFrame, mode: DataFrame,
     divergent: DataFrame, forbidden: DataFrame,

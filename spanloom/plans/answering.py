@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import claims as C
 from ..operators import divergence as V
 from ..operators import retrieval as R
 from ..session import durable
@@ -149,8 +150,7 @@ def connective_modes(t):
     return edges.select("query_id", V.connective_mode(F.col("types")).alias("connectives"))
 
 
-@query("extractive_answers")
-def extractive_answers(t):
+def _answers(t):
     """Verbatim answers to every benchmark query from its evidence bundle."""
     bundle = search.bundle_of(t)
     hits = R.with_text(bundle.hits.select("query_id", "chunk_id", "position"), bundle.texts)
@@ -158,5 +158,24 @@ def extractive_answers(t):
     scores = V.start_scores(rows, t.queries)
     zones = durable(V.divergence_starts(rows, bundle.pairs, scores))
     closed = V.forbidden_starts(rows, zones).join(bundle.mode.where(F.col("mode") == "divergent"), "query_id", "left_semi")
-    answers = V.quoted_answers(hits, rows, scores, bundle.pairs, bundle.mode, zones, closed)
-    return answers.withColumn("cited", F.array_join("cited", ","))
+    return V.quoted_answers(hits, rows, scores, bundle.pairs, bundle.mode, zones, closed), hits
+
+
+@query("extractive_answers")
+def extractive_answers(t):
+    return _answers(t)[0].withColumn("cited", F.array_join("cited", ","))
+
+
+@query("rendered_answers")
+def rendered_answers(t):
+    answers, hits = _answers(t)
+    return V.rendered(answers, hits)
+
+
+@query("answer_verification")
+def answer_verification(t):
+    """Every quoted span checked against the chunks it cites, word for word; the
+    span is a claim, so this must hold for every answered query."""
+    answers, hits = _answers(t)
+    claims = durable(answers).select("query_id", F.col("span_no").alias("claim_no"), F.col("text").alias("claim_text"), "cited")
+    return C.all_citations_hold(claims, hits.select("chunk_id", "text").dropDuplicates(["chunk_id"]))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import text as T
+from ..functions import vectors as V
 from ..operators import admission as A
 from ..operators import relations as X
+from ..operators import scan as N
 from . import dialect as D
 from .registry import query
 
@@ -278,6 +280,54 @@ def uncovered_pairs(t):
     return X.uncovered(signals(t), line_proposals(t)).select("src", "dst")
 
 
+# --- the whole scan ------------------------------------------------------------
+
+
+@query("corpus_scan", D.with_(*TYPED, r"""scanned AS (
+  SELECT a.src, a.dst, a.relation, a.method, a.confidence, s.text AS src_text, d.text AS dst_text
+  FROM assessed a JOIN chunks s ON s.chunk_id = a.src JOIN chunks d ON d.chunk_id = a.dst WHERE a.relation = 'contradicts')""") + r"""
+SELECT src, dst, method, CASE
+    WHEN confidence < CASE WHEN method LIKE '%:band' THEN 0.35 ELSE 0.5 END THEN 'denied_low_confidence'
+    WHEN NOT regexp_matches(src_text, '\S') OR NOT regexp_matches(dst_text, '\S') THEN 'denied_invalid_anchor'
+    ELSE 'admitted' END AS code
+FROM scanned""")
+def corpus_scan(t):
+    proposed = N.proposals(signals(t), t.chunks)
+    return N.admitted_scan(proposed, t.chunks).select("src", "dst", "method", "code")
+
+
+def scan_entailment(t):
+    """Pairs of one quality stand for texts that entail each other."""
+    return signals(t).select(
+        "src", "dst", F.when(F.col("stance") == "agreement", 0.9).otherwise(0.1).alias("entail_ab"),
+        F.when(F.col("stance").isin("agreement", "partial"), 0.9).otherwise(0.1).alias("entail_ba"),
+    )
+
+
+@query("corpus_scan_counts", D.with_(*TYPED) + """
+SELECT CASE WHEN a.confidence < CASE WHEN a.method LIKE '%:band' THEN 0.35 ELSE 0.5 END THEN 'denied_low_confidence'
+            WHEN s.stance = 'agreement' THEN 'denied_relation_mismatch' ELSE 'admitted' END AS code, count(*) AS n
+FROM assessed a JOIN signals s ON s.src = a.src AND s.dst = a.dst WHERE a.relation = 'contradicts' GROUP BY 1""")
+def corpus_scan_counts(t):
+    proposed = N.proposals(signals(t), t.chunks)
+    return A.code_counts(N.admitted_scan(proposed, t.chunks, scan_entailment(t)))
+
+
+@query("pruned_pairs", D.with_(D.CHUNKS, D.POSTINGS, D.IDF, GRADED, STORY, SCORED, """near AS (
+  SELECT a.vec_id::VARCHAR AS src, b.vec_id::VARCHAR AS dst FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+  WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.14)""") + """
+SELECT src, dst FROM scored WHERE score >= 0.2 UNION SELECT src, dst FROM near""")
+def pruned_pairs(t):
+    """Story pairs above the relatedness floor, or successive vectors past the gate."""
+    related = pair_relatedness(t).where(F.col("score") >= X.RELATEDNESS_FLOOR)
+    here = t.table("embeddings").select("vec_id", "embedding")
+    ahead = here.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    near = here.join(ahead, "vec_id").where(V.dot(F.col("embedding"), F.col("next")) >= X.CALIBRATED.gate).select(
+        F.col("vec_id").cast("string").alias("src"), (F.col("vec_id") + 1).cast("string").alias("dst")
+    )
+    return N.pruned(related, near)
+
+
 # --- admission ---------------------------------------------------------------
 
 GATE = r"""base AS (

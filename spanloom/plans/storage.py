@@ -35,7 +35,12 @@ def document_ids(t):
     )
 
 
-@query("document_uuids")
+@query("document_uuids", """
+WITH digests AS (
+  SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || ('spanloom:doc:' || doc_id)::BLOB) AS h FROM documents)
+SELECT doc_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+       || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
+FROM digests""")
 def document_uuids(t):
     return t.table("documents").select("doc_id", G.document_uuid(F.col("doc_id").cast("string"), "spanloom:doc:").alias("uuid"))
 
