@@ -55,15 +55,24 @@ def _unit_rows(vectors) -> np.ndarray:
 def _best_of_block(ids, corpus: np.ndarray, query_ids, queries: np.ndarray, k: int) -> pd.DataFrame:
     ids = np.asarray(ids, dtype=object)
     sims = np.round(corpus @ queries.T, 6) + 0.0
-    frames = []
+    asked, rows, scores = [], [], []
     for j, query_id in enumerate(query_ids):
         column = sims[:, j]
         near = np.arange(len(ids))
         if len(ids) > k:
             near = np.flatnonzero(column >= -np.partition(-column, k - 1)[k - 1])
         order = sorted(near, key=lambda i: (-column[i], ids[i]))[:k]
-        frames.append(pd.DataFrame({"query_id": query_id, "chunk_id": ids[order], "similarity": column[order]}))
-    return pd.concat(frames)
+        asked += [query_id] * len(order)
+        rows += [ids[i] for i in order]
+        scores += column[order].tolist()
+    return _dense_frame(asked, rows, scores)
+
+
+def _dense_frame(asked: list, rows: list, scores: list) -> pd.DataFrame:
+    return pd.DataFrame({
+        "query_id": pd.Series(asked, dtype="int64"), "chunk_id": pd.Series(rows, dtype=object),
+        "similarity": pd.Series(scores, dtype="float64"),
+    })
 
 
 _DENSE_SCHEMA = "query_id bigint, chunk_id string, similarity double"
@@ -113,7 +122,7 @@ def dense_candidates_blocked(
 
     def multiply(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "similarity": []})
+            return _dense_frame([], [], [])
         return _best_of_block(c.chunk_id, _unit_rows(c.vector), q.query_id, _unit_rows(q.query_vector), k)
 
     return (
