@@ -161,3 +161,22 @@ def test_deep_trees_are_stable_and_sensitive(spark):
     assert deep(rows) == deep(rows[::-1]) != deep(rows[:-1])
     print_ = lambda r: tuple(G.corpus_fingerprint(leaves(spark, r), leaf_rows=4).first())
     assert print_(rows) == print_(rows[::-1]) and print_(rows)[0] == 300 and print_(rows)[1] != print_(rows[1:])[1]
+
+
+def test_retrieval_manifest_hashes_the_canonical_json(spark):
+    import hashlib
+    import json
+
+    from spanloom.operators import ingest as N
+
+    b = bundle(spark, "wildfire valley é", ["c1", "c3"])
+    got = N.retrieval_manifests(asked(spark, "wildfire valley é"), b, table(spark).withColumn("title", F.lit('t"é'))).first()
+    outlets = {c: o for c, _, o, _ in CHUNKS}
+    entries = [
+        {"chunk_id": r.chunk_id, "outlet": outlets[r.chunk_id], "title": 't"é', "dense_rank": r.dense_rank, "sparse_rank": r.sparse_rank, "rrf_score": r.rrf_score}
+        for r in b.hits.orderBy("position").collect()
+    ]
+    body = {"query": "wildfire valley é", "query_hash": hashlib.sha256("wildfire valley é".encode()).hexdigest(),
+            "synthesis_mode": "divergent", "edge_types": ["cites", "contradicts"], "entries": entries}
+    want = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert got.manifest_hash == want and got.n_entries == len(entries)
