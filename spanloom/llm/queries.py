@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality, urls
+from . import contamination, mixing, quality, urls
 from .common import spread, table
 
 QUERIES: dict = {}
@@ -32,3 +33,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(spread(table(spark, sf_dir, "pages")))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = contamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
