@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, quality, urls
+from . import contamination, mixing, near, quality, urls
 from .common import spread, table
 
 QUERIES: dict = {}
@@ -43,3 +43,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.grouped(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), width=4, similarity=80)
