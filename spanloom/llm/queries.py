@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, near, quality, urls
+from . import contamination, language, mixing, near, quality, secrets, urls
 from .common import spread, table
 
 QUERIES: dict = {}
@@ -48,3 +48,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.grouped(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), width=4, similarity=80)
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = docs.withColumn("held_out", language.held_out())
+    return language.identified(docs.drop("lang"), docs.where("NOT held_out")).drop("text")
