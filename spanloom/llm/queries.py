@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, mixing, near, quality, secrets, urls
+from . import contamination, language, lines, mixing, near, quality, secrets, urls
 from .common import spread, table
 
 QUERIES: dict = {}
@@ -60,3 +60,37 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     docs = docs.withColumn("held_out", language.held_out())
     return language.identified(docs.drop("lang"), docs.where("NOT held_out")).drop("text")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.deduplicated(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op7_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line, string_split(text, chr(10))[i] AS l
+  FROM (SELECT doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)
+), worded AS (
+  SELECT * FROM lines WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')
+), firsts AS (
+  SELECT l, min((doc_id, line)) AS f FROM worded GROUP BY l
+), halves AS (
+  SELECT l, f, q, 'b' AS side, substr(l, 1, q // 2) AS h FROM firsts, LATERAL (SELECT unnest([length(l), length(l) - 1]) AS q)
+  UNION ALL
+  SELECT l, f, q, 'e', substr(l, length(l) - q // 2 + 1, q // 2) FROM firsts, LATERAL (SELECT unnest([length(l), length(l) - 1]) AS q)
+), late AS (
+  SELECT DISTINCT b.l FROM halves a JOIN halves b USING (q, side, h)
+  WHERE a.f < b.f AND length(a.l) - length(b.l) BETWEEN -1 AND 1 AND len(list_filter(
+    generate_series(1, greatest(length(a.l), length(b.l))),
+    lambda i: substr(a.l, 1, i - 1) || substr(a.l, i + (length(a.l) >= length(b.l))::INT)
+            = substr(b.l, 1, i - 1) || substr(b.l, i + (length(b.l) >= length(a.l))::INT))) > 0
+), marked AS (
+  SELECT w.doc_id, w.line, (f.f <> (w.doc_id, w.line) OR f.l IN (SELECT l FROM late)) AS gone
+  FROM worded w JOIN firsts f USING (l)
+)
+SELECT x.doc_id, count(m.line) AS n_lines, count(*) FILTER (WHERE m.gone) AS n_removed,
+       sha256(coalesce(string_agg(x.l, chr(10) ORDER BY x.line) FILTER (WHERE NOT coalesce(m.gone, false)), '')) AS kept_sha256
+FROM lines x LEFT JOIN marked m USING (doc_id, line) GROUP BY x.doc_id
+"""

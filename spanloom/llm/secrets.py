@@ -31,7 +31,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Sample the model is fitted on: so many texts with and without a find, of at most so many characters.
 TRAIN_TEXTS = 250
 TRAIN_CHARS = 10_000
-EPOCHS = 30
+EPOCHS = 20
 BUCKETS = 4096
 
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -277,7 +277,7 @@ def learned_model(docs: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_
     """A model fitted on at most ``texts`` texts with a base find and as many
     without, the first in the order of a hash among those up to ``chars`` long."""
     found = F.regexp_like("text", F.lit(
-        r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}|(?-i:AKIA[A-Z0-9]{12}|[0-9a-f]{32})"""))
+        r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}|[0-9a-f]{32}|(?-i:AKIA[A-Z0-9]{12})"""))
     short = docs.where("text IS NOT NULL").where(F.length("text") <= chars).select("text")
     order = short.withColumn("found", found).withColumn("order", F.xxhash64("text"))
     sample = [
@@ -290,8 +290,9 @@ def learned_model(docs: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_
     stop = tokens.chars[tokens.end] - tokens.chars[tokens.offsets[tokens.text]]
     bounds = np.searchsorted(tokens.text, np.arange(len(sample) + 1))
     for k, text in enumerate(sample):
-        for span in base_spans(text):
-            start, end = secret_part(text, span)
+        # finds that differ from a base find in case only are secrets too
+        folded = text.lower() if len(text.lower()) == len(text) else text
+        for start, end in {secret_part(x, s) for x in (text, folded) for s in base_spans(x)}:
             inside = np.flatnonzero((stop[bounds[k]:bounds[k + 1]] > start) & (begin[bounds[k]:bounds[k + 1]] < end)) + bounds[k]
             inside = inside[tags[inside] == OUTSIDE]
             tags[inside] = INSIDE
