@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, lines, mixing, near, quality, secrets, urls
+from . import contamination, language, lines, mixing, near, quality, repeats, secrets, urls
 from .common import spread, table
 
 QUERIES: dict = {}
@@ -94,3 +94,12 @@ SELECT x.doc_id, count(m.line) AS n_lines, count(*) FILTER (WHERE m.gone) AS n_r
        sha256(coalesce(string_agg(x.l, chr(10) ORDER BY x.line) FILTER (WHERE NOT coalesce(m.gone, false)), '')) AS kept_sha256
 FROM lines x LEFT JOIN marked m USING (doc_id, line) GROUP BY x.doc_id
 """
+
+
+@query
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.cleaned(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return cleaned.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
