@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, lines, mixing, near, quality, repeats, secrets, urls
+from . import contamination, language, lines, mixing, near, pages, quality, repeats, secrets, urls
 from .common import spread, table
 
 QUERIES: dict = {}
@@ -103,3 +103,9 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extracted(spread(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
