@@ -60,7 +60,8 @@ def repeat_words(w: Column, width: int = 5) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id with the base statistics and those the learned list may use.
+    """doc_id and version (a hash of the text) with the base statistics and those
+    the learned list may use, one row per row of ``docs``.
 
     A null text has no words and no lines; all its counts are 0.
     """
@@ -79,13 +80,13 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")
     ))
     return docs.select(
-        "doc_id", per_text.alias("w"), per_line.alias("l"),
+        "doc_id", F.xxhash64("text").alias("version"), per_text.alias("w"), per_line.alias("l"),
         _times(text, SYMBOLS).cast("long").alias("n_symbols"),
         _times(text, CAPITALS).cast("long").alias("n_capitals"),
         _times(text, "!?").cast("long").alias("n_marks"),
         _times(text, "0123456789").cast("long").alias("n_digits"),
     ).select(
-        "doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words",
+        "doc_id", "version", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words",
         "w.n_distinct", "l.n_lines", "n_capitals", "n_marks", "n_digits",
     )
 
