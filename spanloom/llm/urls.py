@@ -84,11 +84,11 @@ def templates(
     ).otherwise(F.col("branch"))
     branches = durable(branches.withColumn("merged", merged))
     pooled = branches.groupBy(F.col("host").alias("h"), F.col("merged").alias("m")).agg(
-        F.sum("bad").alias("pool_bad"), F.sum(F.col("bad") + F.col("good")).alias("pool")
+        F.sum("bad").alias("pool_bad"), F.sum(F.col("bad") + F.col("good")).alias("pool"), F.count("*").alias("siblings")
     )
     seen = F.col("bad") + F.col("good")
     rate = (F.col("pool_bad") + 0.5) / (F.col("pool") + 1.0)
-    alike = (seen >= least) & (
+    alike = (F.col("siblings") > 1) & (seen >= least) & (
         F.abs(F.col("bad") / seen - rate) <= z * F.sqrt(rate * (1 - rate) / seen) + 0.5 / seen
     )
     chosen = branches.join(
