@@ -18,15 +18,24 @@ DIVERGENCE_TAGS = (
 )
 
 
+def claim_number(part: Column, position: Column) -> Column:
+    """A sentence's number: its part's (an answer, a turn) above its place in it."""
+    return F.shiftleft(part.cast("bigint"), 20) + position
+
+
 def claims_from_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """One GENERATED claim per non-empty sentence of answers(query_id, answer).
 
+    A query may have several answers, told apart by ``answer_no``, which then
+    counts in the high bits of claim_no.
     ``sources`` (query_id, number, chunk_id) resolves citation numbers; unknown
     numbers are dropped and citation order is kept.
     """
+    if "answer_no" not in answers.columns:
+        answers = answers.withColumn("answer_no", F.lit(0))
     parts = answers.select(
-        "query_id", F.posexplode(T.plain_sentences(F.col("answer"))).alias("claim_no", "sentence")
-    )
+        "query_id", "answer_no", F.posexplode(T.plain_sentences(F.col("answer"))).alias("position", "sentence")
+    ).withColumn("claim_no", claim_number(F.col("answer_no"), F.col("position")))
     claims = parts.select(
         "query_id", "claim_no",
         T.without_citations(F.col("sentence")).alias("claim_text"),

@@ -1,9 +1,9 @@
 """Order-free digests of large row sets: fingerprint and hash-bucket anchors.
 
-A digest over sorted rows is sequential, so one group must never hold the whole
-corpus.  Up to ``leaf_rows`` rows the digest is the plain sorted join; beyond it
-rows fall into 16**digits hash buckets, each small, and bucket digests fold up
-sixteen at a time.  Bucket keys are hashes of unique ids, so buckets stay even.
+The format is one at every size: rows fall into 16**DIGITS leaves by a hash of their
+unique key, a leaf's digest is the hash of its items in key order, and digests fold
+up sixteen at a time; a leaf without rows is left out.  Two sets that differ in one
+row differ in one path of digests, however many rows they have.
 """
 
 from __future__ import annotations
@@ -15,26 +15,19 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 
-LEAF_ROWS = 65_536
+#: Fixed by the format: hex digits of a leaf's path.
+DIGITS = 4
 BUCKETS = 16
 EMPTY_BUCKET = hashlib.sha256(b"empty").hexdigest()
 
 
-def tree_digits(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> int:
-    """Hex digits of bucket key needed to keep a leaf under ``leaf_rows``."""
-    n, digits = rows.count(), 0
-    while n > leaf_rows * BUCKETS**digits:
-        digits += 1
-    return digits
-
-
 def _joined_hash(items: Column) -> Column:
     return F.sha2(F.array_join(items, "|"), 256)
 
 
-def leaf_digests(rows: DataFrame, digits: int) -> DataFrame:
-    """(path, digest, n) per bucket of rows(key, item)."""
-    path = F.substring(H.content_hash(F.col("key")), 1, digits) if digits else F.lit("")
+def leaf_digests(rows: DataFrame) -> DataFrame:
+    """(path, digest, n) per leaf of rows(key, item)."""
+    path = F.substring(H.content_hash(F.col("key")), 1, DIGITS)
     return (
         rows.withColumn("path", path)
         .groupBy("path")
@@ -46,9 +39,9 @@ def leaf_digests(rows: DataFrame, digits: int) -> DataFrame:
     )
 
 
-def fold_up(level: DataFrame, digits: int, stop: int) -> DataFrame:
+def fold_up(level: DataFrame, stop: int) -> DataFrame:
     """Combine sixteen children per parent until paths have ``stop`` digits."""
-    for width in range(digits, stop, -1):
+    for width in range(DIGITS, stop, -1):
         level = (
             level.groupBy(F.substring("path", 1, width - 1).alias("path"))
             .agg(
@@ -60,14 +53,13 @@ def fold_up(level: DataFrame, digits: int, stop: int) -> DataFrame:
     return level
 
 
-def corpus_fingerprint(chunks: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """chunk_count and the first 16 hex digits over sorted ``id:hash`` rows."""
+def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
+    """chunk_count and the first 16 hex digits of the digest of all ``id:hash`` rows."""
     rows = chunks.select(
         F.col("chunk_id").alias("key"),
         F.concat_ws(":", "chunk_id", "content_hash").alias("item"),
     )
-    digits = tree_digits(rows, leaf_rows)
-    top = fold_up(leaf_digests(rows, digits), digits, 0)
+    top = fold_up(leaf_digests(rows), 0)
     return top.select(
         F.col("n").alias("chunk_count"), F.substring("digest", 1, 16).alias("content_hash")
     )
@@ -78,14 +70,13 @@ def anchor_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "content_hash", "outlet", "title")
 
 
-def bucket_digests(anchors: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def bucket_digests(anchors: DataFrame) -> DataFrame:
     """All 16 bucket digests; an empty bucket has a fixed digest."""
     rows = anchors.select(
         F.col("chunk_id").alias("key"),
         F.sha2(H.json_list(*[F.col(c) for c in ("chunk_id", "content_hash", "outlet", "title")]), 256).alias("item"),
     )
-    digits = max(1, tree_digits(rows, leaf_rows))
-    top = fold_up(leaf_digests(rows, digits), digits, 1)
+    top = fold_up(leaf_digests(rows), 1)
     filled = top.select(
         F.conv("path", 16, 10).cast("int").alias("bucket"), F.col("digest").alias("bucket_hash"), "n"
     )

@@ -109,30 +109,3 @@ def recall_by_origin(predicted: DataFrame, origins: DataFrame) -> DataFrame:
     return rows.groupBy("origin").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("predicted") == "DIVERGENT").cast("bigint")).alias("n_recovered")
     )
-
-
-# Held-out balanced accuracy that counts as a success, and below
-# which a green bar is suspect.
-HELD_OUT_SUCCESS, HELD_OUT_SUSPECT = 0.50, 0.40
-
-
-def bar_is_green(rates: dict, flips: int) -> bool:
-    """All three bar blocks fully right and no label that depends on direction."""
-    return flips == 0 and all((rates.get(b) or 0.0) >= 1.0 for b in ("issue_frame", "class_c", "unrelated"))
-
-
-def verdict(bar_green: bool, held_out_mean: float) -> str:
-    """Reading of a head, bar first, then how it generalises."""
-    grades = ((HELD_OUT_SUCCESS, "success"), (HELD_OUT_SUSPECT, "success_caveated"))
-    if not bar_green:
-        return "bar_failed"
-    return next((name for least, name in grades if held_out_mean >= least), "suspect")
-
-
-def sweep_verdict(recalls: dict[str, float | None]) -> str:
-    """What a sweep over encoders shows about framing; NULL recalls are failures."""
-    known = {name: r for name, r in recalls.items() if r is not None}
-    if not known:
-        return "no_measurement"
-    best = max(known, key=known.get)
-    return f"framing_recoverable:{best}" if known[best] > 0 else "framing_not_recoverable_frozen"

@@ -111,10 +111,9 @@ def content_groups(t):
     return stats.distinct_contents(t.chunks).select("content_hash", "chunk_id", "copies")
 
 
-@query("corpus_fingerprint", D.with_(D.ANCHORS) + """
-SELECT count(*) AS chunk_count,
-       left(sha256(string_agg(chunk_id || ':' || content_hash, '|' ORDER BY chunk_id)), 16) AS content_hash
-FROM anchors""")
+@query("corpus_fingerprint", D.with_(D.ANCHORS) + f"""
+SELECT n AS chunk_count, left(digest, 16) AS content_hash
+FROM ({D.digest_tree("anchors", "chunk_id || ':' || content_hash", 0)}) t""")
 def corpus_fingerprint(t):
     return digests.corpus_fingerprint(t.anchors)
 

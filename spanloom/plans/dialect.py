@@ -142,15 +142,26 @@ def leaf_hash(alias: str = "") -> str:
     return f"sha256('[\"' || {cells} || '\"]')"
 
 
+def digest_tree(source: str, item: str, stop: int) -> str:
+    """(path, digest, n) of a digest tree of four levels, folded up to ``stop`` digits."""
+    level = (
+        f"SELECT left(sha256(chunk_id), 4) AS path, sha256(string_agg({item}, '|' ORDER BY chunk_id)) AS digest, "
+        f"count(*) AS n FROM {source} GROUP BY 1"
+    )
+    for width in range(3, stop - 1, -1):
+        level = (
+            f"SELECT left(path, {width}) AS path, sha256(string_agg(digest, '|' ORDER BY path)) AS digest, "
+            f"sum(n)::BIGINT AS n FROM ({level}) l{width} GROUP BY 1"
+        )
+    return level
+
+
 def buckets(source: str, name: str) -> str:
-    """Bucket digests of an anchor table, small enough for one level."""
+    """Bucket digests of an anchor table."""
     return f"""{name} AS (
-  SELECT b.bucket, coalesce(h.bucket_hash, sha256('empty')) AS bucket_hash, coalesce(h.n, 0) AS n
+  SELECT b.bucket, coalesce(h.digest, sha256('empty')) AS bucket_hash, coalesce(h.n, 0) AS n
   FROM (SELECT i AS bucket FROM generate_series(0, 15) g(i)) b
-  LEFT JOIN (
-    SELECT strpos('0123456789abcdef', left(sha256(chunk_id), 1)) - 1 AS bucket,
-           sha256(string_agg({leaf_hash()}, '|' ORDER BY chunk_id)) AS bucket_hash, count(*) AS n
-    FROM {source} GROUP BY 1) h ON h.bucket = b.bucket)"""
+  LEFT JOIN ({digest_tree(source, leaf_hash(), 1)}) h ON strpos('0123456789abcdef', h.path) - 1 = b.bucket)"""
 
 
 def with_(*ctes: str) -> str:

@@ -142,25 +142,42 @@ def test_anchor_digests_ignore_order_and_find_one_change(spark):
     assert kinds == {("d:0", "changed"), ("d:1", "removed"), ("d:9", "added")}
 
 
+def plain_tree(cells, stop):
+    """{path: digest} of (key, item) cells by the documented format."""
+    import hashlib
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    level = {}
+    for key, item in sorted(cells):
+        level.setdefault(sha(key)[:4], []).append(item)
+    for width in range(3, stop - 2, -1):
+        digests = sorted((path, sha("|".join(items))) for path, items in level.items())
+        if width < stop:
+            return dict(digests)
+        level = {}
+        for path, digest in digests:
+            level.setdefault(path[:width], []).append(digest)
+
+
 def test_bucket_digest_is_the_documented_encoding(spark):
     import hashlib
     import json
 
     rows = [(f"d:{i}", f"h{i}", 'o"\\', "té 😀") for i in range(30)]
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    want = {}
-    for b in range(16):
-        mine = sorted(r for r in rows if int(sha(r[0])[0], 16) == b)
-        want[b] = sha("|".join(sha(json.dumps(list(r))) for r in mine)) if mine else sha("empty")
+    top = plain_tree([(r[0], sha(json.dumps(list(r)))) for r in rows], 1)
+    want = {b: top.get(f"{b:x}", sha("empty")) for b in range(16)}
     assert {r.bucket: r.bucket_hash for r in G.bucket_digests(leaves(spark, rows)).collect()} == want
+    assert G.corpus_fingerprint(leaves(spark, rows)).first().content_hash == plain_tree([(r[0], f"{r[0]}:{r[1]}") for r in rows], 0)[""][:16]
 
 
-def test_deep_trees_are_stable_and_sensitive(spark):
-    rows = [(f"d:{i}", f"h{i}", "o", "t") for i in range(300)]
-    deep = lambda r: sorted(map(tuple, G.bucket_digests(leaves(spark, r), leaf_rows=4).collect()))
-    assert deep(rows) == deep(rows[::-1]) != deep(rows[:-1])
-    print_ = lambda r: tuple(G.corpus_fingerprint(leaves(spark, r), leaf_rows=4).first())
-    assert print_(rows) == print_(rows[::-1]) and print_(rows)[0] == 300 and print_(rows)[1] != print_(rows[1:])[1]
+def test_one_row_changes_one_bucket_at_any_size(spark):
+    rows = [(f"d:{i}", f"h{i}", "o", "t") for i in range(1100)]
+    for n in (0, 1, 15, 16, 17, 62, 64, 255, 256, 1023, 1025):
+        here, there = (dict(G.bucket_digests(leaves(spark, r)).select("bucket", "bucket_hash").collect()) for r in (rows[:n], rows[: n + 1]))
+        assert sum(here[b] != there[b] for b in here) == 1
+    print_ = lambda r: tuple(G.corpus_fingerprint(leaves(spark, r)).first())
+    assert print_(rows) == print_(rows[::-1]) and print_(rows)[0] == 1100 and print_(rows)[1] != print_(rows[1:])[1]
 
 
 def test_retrieval_manifest_hashes_the_canonical_json(spark):
