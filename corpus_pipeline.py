@@ -30,11 +30,12 @@ def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
-    judged = quality.judged(docs, table(spark, sf_dir, "labels"))
+    plain, old = _apart(docs)
+    judged = quality.judged(plain, table(spark, sf_dir, "labels"))
     kept = judged.where("kept").select(F.col("doc_id").alias("__d"), F.col("version").alias("__v")).distinct()
-    return docs.join(
-        kept, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__v")), "left_semi"
-    )
+    return plain.join(
+        kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__v")), "left_semi"
+    ).select(old)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +51,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of every group of near duplicates (five-word shingles, 0.8)."""
-    gone = near.grouped(docs.select("doc_id", "text"), width=5, similarity=80).where("NOT kept")
-    gone = gone.select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__d"), "left_anti")
+    plain, old = _apart(docs)
+    gone = near.grouped(plain, width=5, similarity=80).where("NOT kept").select(F.col("doc_id").alias("__d")).distinct()
+    return plain.join(gone, F.col("doc_id") == F.col("__d"), "left_anti").select(old)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
