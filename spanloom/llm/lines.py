@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ..session import checked_broadcast, durable
 from .tokens import mixed, powers, small_batches
 
-#: Lines that may have a partner are broadcast up to this many (some 40 bytes each), else joined by shuffle.
-LIKELY_ROWS = 2_000_000
+#: Lines that may have a partner are broadcast up to this many (four numbers each), else joined by shuffle.
+LIKELY_ROWS = 500_000
 _BLANK = re.compile(r"[\x20\x09-\x0D]*")
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -93,13 +93,13 @@ def decisions(docs: DataFrame) -> DataFrame:
     likely = keys.join(shared, "half").select("h1", "h2").distinct()
     # the text of each such line, from its first place
     at = durable(firsts.join(likely, ["h1", "h2"]).select(
-        "h1", "h2", "first", F.col("first.doc_id").alias("d"), F.col("first.line").alias("n")))
+        "h1", "h2", F.col("first.doc_id").alias("d"), F.col("first.line").alias("n")))
     at = checked_broadcast(at, LIKELY_ROWS)
     texts = durable(
         lines.select("doc_id", "line", F.col("h1").alias("g1"), F.col("h2").alias("g2"), "text")
         .join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("n"))
               & (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")))
-        .select("h1", "h2", "first", "text").dropDuplicates(["h1", "h2"])
+        .select("h1", "h2", place.alias("first"), "text").dropDuplicates(["h1", "h2"])
     )
     variants = _variants(texts)
     several = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
