@@ -38,7 +38,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and INVERSE**i for i < n, kept between batches."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
+        size = (n | 0xFFFFF) + 1
         for k, base in enumerate((BASE, INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -98,7 +98,7 @@ class Words:
         return np.diff(self.first)
 
 
-def small_batches(batches, most: int = 8 << 20):
+def small_batches(batches, most: int = 2 << 20):
     """The rows of Arrow batches regrouped to about ``most`` bytes of memory each;
     one row larger than that stands alone.  Nothing is cut."""
     for batch in batches:
