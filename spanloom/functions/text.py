@@ -6,7 +6,6 @@ letters split words.  Nothing here leaves the JVM.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -232,7 +231,3 @@ def citation_numbers(sentence: Column) -> Column:
 
 def without_citations(sentence: Column) -> Column:
     return trimmed(F.regexp_replace(sentence, r"\[[^\]]+\]", ""))
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

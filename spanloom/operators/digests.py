@@ -65,11 +65,6 @@ def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
     )
 
 
-def anchor_rows(chunks: DataFrame) -> DataFrame:
-    """Anchor leaves: ids, hashes and labels, never the text."""
-    return chunks.select("chunk_id", "content_hash", "outlet", "title")
-
-
 def bucket_digests(anchors: DataFrame) -> DataFrame:
     """All 16 bucket digests; an empty bucket has a fixed digest."""
     rows = anchors.select(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import durable
 
 # The 4-way training classes and the 3-way labels a judge may give.
 CLASSES = ("DIVERGENT", "AGREE", "RELATED_UNTYPED", "UNRELATED")
@@ -64,7 +65,8 @@ def predictions(model, examples: DataFrame) -> DataFrame:
 def held_out_predictions(examples: DataFrame, folds: int, kind: str = "linear", seed: int = 0) -> DataFrame:
     """Each example predicted by a head fitted without its fold; as many folds as
     examples is leave-one-out.  Folds follow a hash of the pair, so a rerun agrees."""
-    marked = examples.withColumn("fold", F.pmod(F.xxhash64("src", "dst"), F.lit(folds))).persist()
+    marked = examples.withColumn("fold", F.pmod(F.xxhash64("src", "dst"), F.lit(folds)))
+    marked = durable(marked)
     present = [r.fold for r in marked.select("fold").distinct().orderBy("fold").collect()]
     out = None
     for fold in present:
