@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import text as T
-from ..functions import vectors as V
 from ..operators import admission as A
 from ..operators import relations as X
+from ..operators import retrieval as R
 from ..operators import scan as N
 from . import dialect as D
 from .registry import query
 
 CEILING = 12          # document frequency up to which a term is rare here
-FLOOR = 0.5           # relatedness floor of the registered threshold join
+FLOOR = X.RELATEDNESS_FLOOR
 
 GRADED = f"""graded AS (
   SELECT p.chunk_id, p.term, CASE WHEN a.term IS NOT NULL THEN 2 WHEN c.term IS NOT NULL THEN 1 ELSE 0 END AS grade
@@ -313,19 +313,27 @@ def corpus_scan_counts(t):
     return A.code_counts(N.admitted_scan(proposed, t.chunks, scan_entailment(t)))
 
 
-@query("pruned_pairs", D.with_(D.CHUNKS, D.POSTINGS, D.IDF, GRADED, STORY, SCORED, """near AS (
-  SELECT a.vec_id::VARCHAR AS src, b.vec_id::VARCHAR AS dst FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
-  WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.14)""") + """
-SELECT src, dst FROM scored WHERE score >= 0.2 UNION SELECT src, dst FROM near""")
+NEIGHBOURS = 15       # vector neighbours a chunk brings to the scan
+
+
+@query("pruned_pairs", D.with_(D.CHUNKS, CONTENTS, f"""sims AS (
+  SELECT a.vec_id::VARCHAR AS x, b.vec_id::VARCHAR AS y,
+         round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
+               / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
+               / sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS sim
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+near AS (
+  SELECT x, y FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) AS rn FROM sims) r
+  WHERE rn <= {NEIGHBOURS} AND sim >= 0.14)""") + """
+SELECT src, dst FROM related UNION SELECT least(x, y), greatest(x, y) FROM near""")
 def pruned_pairs(t):
-    """Story pairs above the relatedness floor, or successive vectors past the gate."""
-    related = pair_relatedness(t).where(F.col("score") >= X.RELATEDNESS_FLOOR)
-    here = t.table("embeddings").select("vec_id", "embedding")
-    ahead = here.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
-    near = here.join(ahead, "vec_id").where(V.dot(F.col("embedding"), F.col("next")) >= X.CALIBRATED.gate).select(
-        F.col("vec_id").cast("string").alias("src"), (F.col("vec_id") + 1).cast("string").alias("dst")
-    )
-    return N.pruned(related, near)
+    """Pairs above the relatedness floor, or vector neighbours past the gate."""
+    asked = t.vectors.select(F.col("chunk_id").cast("bigint").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = R.dense_candidates(asked, t.vectors, NEIGHBOURS + 1).where(F.col("query_id").cast("string") != F.col("chunk_id"))
+    near = R.top_per_query(found, NEIGHBOURS, F.col("similarity").desc(), F.col("chunk_id"))
+    x, y = F.col("query_id").cast("string"), F.col("chunk_id")
+    near = near.where(F.col("similarity") >= X.CALIBRATED.gate).select(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
+    return N.pruned(related_pairs(t), near)
 
 
 # --- admission ---------------------------------------------------------------
