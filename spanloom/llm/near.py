@@ -31,7 +31,9 @@ CHUNKS = 15
 ERRORS = 1
 #: CHUNKS * (ERRORS + 1) - 1
 DISTANCE = 29
-BLOCK = 512
+BLOCK = 256
+#: Signature pairs compared at once.
+PAIRS = 50_000
 
 _SEEDS = mixed(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -130,48 +132,105 @@ def _indexed(sets: DataFrame) -> DataFrame:
     return sets.select("node", "signature").mapInArrow(index, f"key long, node {dict(sets.dtypes)['node']}")
 
 
+def _crowded(index: DataFrame) -> DataFrame:
+    """Rows (key, node) of keys that several nodes have.
+
+    Rows are sorted by key and node and read as a stream: one shuffle, and no
+    bucket is ever held in memory.
+    """
+    kind = dict(index.dtypes)["node"]
+
+    def several(batches):
+        held = open_ = None  # the last key's row while it has one node only; else that key
+        for batch in batches:
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if held is not None:
+                key, node = np.append(held[0], key), np.append(held[1], node)
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+            last = np.append(first[1:], len(key)) - 1
+            shared = node[first] != node[last]
+            shared[0] |= open_ is not None and key[0] == open_
+            emit = shared[group] & np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+            held, open_ = (None, key[-1]) if shared[-1] else ((key[-1], node[-1]), None)
+            yield pa.RecordBatch.from_arrays([pa.array(key[emit]), pa.array(node[emit])], ["key", "node"])
+
+    return index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(several, f"key long, node {kind}")
+
+
 def _within(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) whose signatures are within the distance and whose set sizes allow the similarity."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").where("a IS NOT NULL").join(side("b"), "b")
-    near = lambda x: F.split(F.regexp_replace(F.hex(x), "(.{4})", "$1,"), ",")
-    apart = F.aggregate(F.zip_with(near("s_a"), near("s_b"), lambda x, y: (x != y).cast("int")), F.lit(0), lambda x, y: x + y)
-    sizes = 100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    return both.where(sizes).where(apart <= DISTANCE).select("a", "b")
+    kind = dict(sets.dtypes)["node"]
+
+    def near(batches):
+        for batch in batches:
+            n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            s_a, s_b = (_matrix(batch.column(k)) for k in (4, 5))
+            keep = ((s_a != s_b).sum(1) <= DISTANCE) & (100 * np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b))
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(
+        near, f"a {kind}, b {kind}").distinct()
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity; sets are built for texts in pairs only."""
+    """Links (a, b) among ``pairs`` (a, b, group, part), confirmed on the full sets.
+
+    The texts of a part's nodes, two blocks at most, are sent to one task, each
+    once however many pairs it is in.  Pairs that the part's links connect
+    already are not confirmed again.
+    """
     kind = dict(docs.dtypes)["node"]
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    ends = pairs.select("group", "part", F.col("a").alias("w"), F.col("b").alias("partner")).unionByName(
+        pairs.select("group", "part", F.col("b").alias("w"), F.lit(None).cast(kind).alias("partner"))
+    ).groupBy("group", "part", "w").agg(F.collect_list("partner").alias("partners"))
+    ends = durable(ends)
+    # rows that repeat a doc_id may hold other texts; a pair of any two of them counts
+    texts = docs.join(ends.select("w").distinct(), docs["node"] == F.col("w"), "left_semi").distinct()
+    sent = ends.join(texts, F.col("w") == F.col("node")).select("group", "part", "node", "partners", "text")
 
-    def build(batches):
-        for batch in small_batches(batches):
-            hashes, first = shingle_hashes(Words(batch.column(1), NOT_SPACE), width)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64)))],
-                ["node", "shingles"],
-            )
+    def confirm(rows):
+        hashes, first = shingle_hashes(Words(rows["text"].combine_chunks(), NOT_SPACE), width)
+        nodes, partners = rows["node"].to_pylist(), rows["partners"].to_pylist()
+        places: dict = {}
+        for k, node in enumerate(nodes):
+            places.setdefault(node, []).append(k)
+        parent = {node: node for node in places}
 
-    # rows that repeat a doc_id may hold other texts; a pair of any two of them counts
-    texts = docs.join(wanted, docs["node"] == wanted["w"], "left_semi").select("node", "text").distinct()
-    sets = texts.mapInArrow(build, f"node {kind}, shingles array<long>")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"x_{x}"))
-    both = F.size(F.array_intersect("x_a", "x_b"))
-    return (
-        pairs.join(side("b"), "b").join(side("a"), "a")
-        .withColumn("both", both)
-        .where(100 * F.col("both") >= similarity * (F.size("x_a") + F.size("x_b") - F.col("both")))
-        .select("a", "b").distinct()
-    )
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def alike(x, y):
+            both = len(np.intersect1d(hashes[first[x]:first[x + 1]], hashes[first[y]:first[y + 1]], assume_unique=True))
+            return 100 * both >= similarity * (first[x + 1] - first[x] + first[y + 1] - first[y] - both)
 
+        links = []
+        for k, node in enumerate(nodes):
+            for other in partners[k]:
+                if root(node) != root(other) and any(alike(k, y) for y in places[other]):
+                    parent[root(node)] = root(other)
+                    links.append((node, other))
+        kinds = rows.schema.field("node").type
+        return pa.table({"a": pa.array([x for x, _ in links], kinds), "b": pa.array([y for _, y in links], kinds)})
 
-def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of one bucket, of different components, within the distance.
+    return sent.groupBy("group", "part").applyInArrow(confirm, f"a {kind}, b {kind}")
+
+
+def _rest(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of one bucket, of different components, within the distance.
 
     A bucket's members are dealt to blocks of about BLOCK; each two blocks meet in
-    one task, where signatures are compared as matrices and only pairs within the
-    distance leave it.
+    one task, where signatures are compared as matrices.  A pair leaves the one
+    bucket that is first in the order of the keys the two share.
     """
     kind = dict(members.dtypes)["node"]
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -182,30 +241,94 @@ def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     )
     meeting = dealt.select("key", "node", "component", "block", F.explode(others).alias("at")).select(
         "key", "node", "component", "block", "at.i", "at.j"
-    ).join(sets.select("node", "signature"), "node")
-
-    def compare(key, rows):
-        i, j = key[1].as_py(), key[2].as_py()
-        block = rows["block"].to_numpy()
-        matrix = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        part = rows["component"].to_numpy()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found_a, found_b = [], []
-        for x in left:
-            apart = (matrix[right] != matrix[x]).sum(1)
-            y = right[(apart <= DISTANCE) & (part[right] != part[x])]
-            y = y[y > x] if i == j else y
-            found_a.append(np.full(len(y), x))
-            found_b.append(y)
-        take = lambda x: rows["node"].take(pa.array(np.concatenate([*x, np.zeros(0, int)]).astype(int)))
-        return pa.table({"a": take(found_a), "b": take(found_b)})
-
-    pairs = meeting.groupBy("key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def grouped(docs: DataFrame, width: int = 4, similarity: int = 80, stars: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``.
+    ).join(sets.select("node", "n_shingles", "signature"), "node")
+
+    def compare(batches):
+        for rows in _whole_groups(batches, ("key", "i", "j")):
+            key, i, j, block, size, part = (
+                rows[c].to_numpy() for c in ("key", "i", "j", "block", "n_shingles", "component"))
+            matrix = _matrix(rows["signature"])
+            new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+            first = np.flatnonzero(new)
+            end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
+            found_a, found_b = [np.zeros(0, int)], [np.zeros(0, int)]
+            later = end - np.arange(len(key)) - 1  # every row meets those after it in its group
+            total = np.cumsum(later)
+            for at in np.split(np.arange(len(key)), np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS))):
+                x = np.repeat(at, later[at])
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later[at]) - later[at], later[at])
+                keep = (part[x] != part[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
+                keep &= 100 * np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
+                x, y = x[keep], y[keep]
+                keep = (matrix[x] != matrix[y]).sum(1) <= DISTANCE
+                found_a.append(x[keep])
+                found_b.append(y[keep])
+            a, b = np.concatenate(found_a), np.concatenate(found_b)
+            if len(a):
+                used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+                keys, here = index_keys(matrix[used]).view(np.int64), np.zeros(len(a), bool)
+                for at in range(0, len(a), PAIRS):
+                    own = keys[place[at : at + PAIRS][: len(a) - at]]
+                    same = own == keys[place[len(a) + at : len(a) + at + PAIRS]]
+                    here[at : at + PAIRS] = own[np.arange(len(own)), same.argmax(1)] == key[a[at : at + PAIRS]]
+                a, b = a[here], b[here]
+            yield pa.RecordBatch.from_arrays(
+                [rows["node"].combine_chunks().take(pa.array(x)) for x in (a, b)], ["a", "b"])
+
+    pairs = meeting.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
+        compare, f"a {kind}, b {kind}")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def _whole_groups(batches, columns, rows: int = 4096):
+    """Sorted batches as tables of at least ``rows`` rows that never part a group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        if table.num_rows < rows:
+            continue
+        keys = [table[c].to_numpy() for c in columns]
+        last = np.ones(table.num_rows, bool)
+        for k in keys:
+            last &= k == k[-1]
+        at = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if at:
+            for start in _cuts(keys, at, rows):
+                yield table.slice(*start)
+            held = table.slice(at).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        if table.num_rows:
+            for start in _cuts([table[c].to_numpy() for c in columns], table.num_rows, rows):
+                yield table.slice(*start)
+
+
+def _cuts(keys: list[np.ndarray], end: int, rows: int) -> list[tuple[int, int]]:
+    """(offset, length) of pieces of about ``rows`` rows up to ``end``, cut between groups."""
+    new = np.zeros(end, bool)
+    for k in keys:
+        new[1:] |= k[1:end] != k[: end - 1]
+    starts = np.append(0, np.flatnonzero(new))
+    picked = starts[np.searchsorted(starts, np.arange(0, end, rows), "left").clip(max=len(starts) - 1)]
+    picked = np.unique(np.append(0, picked))
+    return list(zip(picked.tolist(), np.diff(np.append(picked, end)).tolist(), strict=True))
+
+
+def _centres(buckets: DataFrame) -> DataFrame:
+    """(key, centre): the member whose buckets hold most nodes, the least of several.
+
+    The text that copies were made from shares more keys with them than they
+    share with each other, so its star leaves few components.
+    """
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
+    weights = buckets.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
+    best = F.max_by(F.struct("node"), F.struct("weight", (-F.col("node")).alias("early")))
+    return buckets.join(weights, "node").groupBy("key").agg(best["node"].alias("centre"))
+
+
+def grouped(docs: DataFrame, width: int = 4, similarity: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id an integer).
 
     Documents are linked when ``100 * intersection >= similarity * union`` of their
     sets of ``width``-word shingles (A-Z folded); component_id is the least doc_id
@@ -220,37 +343,35 @@ def grouped(docs: DataFrame, width: int = 4, similarity: int = 80, stars: int =
     sets = durable(full.groupBy("print_a", "print_b", "n_shingles").agg(
         F.min("doc_id").alias("least"), F.min_by(F.struct("signature"), "doc_id").alias("s")
     ).select("print_a", "print_b", "n_shingles", F.col("least").alias("node"), F.col("s.signature").alias("signature")))
-    index = _indexed(sets)
-    crowded = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    buckets = durable(index.join(crowded, "key"))
+    buckets = durable(_crowded(_indexed(sets)))
     texts = docs.select(F.col("doc_id").alias("node"), "text")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return durable(_confirmed(durable(_within(pairs, sets, similarity)), texts, width, similarity))
-
-    links, tried = None, []
-    for centre in ("low", "high")[:stars]:
-        star = buckets if links is None else buckets.join(_open(buckets, labels), "key")  # noqa: F821
-        pairs = star.select(F.greatest("node", centre).alias("a"), F.least("node", centre).alias("b")).where("a <> b").distinct()
-        for old in tried:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        tried.append(pairs)
-        new = confirmed(pairs)
-        links = new if links is None else links.unionByName(new)
-        labels = durable(components(links))
-    members = _labelled(buckets, labels)
-    members = durable(members.join(_open(buckets, labels), "key"))
-    pairs = _rest(members.select("key", "node", "component"), sets)
-    for old in tried:
-        pairs = pairs.join(old, ["a", "b"], "left_anti")
-    pairs = durable(pairs)
+    stars = buckets.join(_centres(buckets), "key").where("node <> centre").select(
+        F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = durable(_within(stars, sets, similarity))
+    parts = stars.groupBy(F.col("b").alias("group")).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = stars.join(parts, F.col("b") == F.col("group")).select(
+        "a", "b", "group", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    links = durable(_confirmed(dealt, texts, width, similarity))
+    labels = durable(components(links))
+
+    members = durable(_labelled(buckets, labels).join(_open(buckets, labels), "key"))
+    pairs = _rest(members.select("key", "node", "component"), sets, similarity)
+    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
-        labels = durable(components(links.unionByName(confirmed(pairs))))
+        near = durable(components(pairs).withColumn("block", F.xxhash64("node")))
+        blocks = near.groupBy(F.col("component").alias("group")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        near = near.join(blocks, F.col("component") == F.col("group")).select(
+            "node", "group", "blocks", F.pmod("block", "blocks").alias("block"))
+        dealt = pairs.join(near.select(F.col("node").alias("a"), "group", "blocks", F.col("block").alias("i")), "a").join(
+            near.select(F.col("node").alias("b"), F.col("block").alias("j")), "b"
+        ).select("a", "b", "group", (F.least("i", "j") * F.col("blocks") + F.greatest("i", "j")).alias("part"))
+        labels = durable(components(links.unionByName(_confirmed(dealt, texts, width, similarity))))
     of_set = sets.select("print_a", "print_b", "n_shingles", "node").join(labels, "node", "left").select(
         "print_a", "print_b", "n_shingles", F.coalesce("component", "node").alias("component")
     )
-    out = base.join(of_set, ["print_a", "print_b", "n_shingles"], "left")
+    out = base.drop("signature").join(of_set, ["print_a", "print_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
