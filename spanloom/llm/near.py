@@ -315,19 +315,50 @@ def _cuts(keys: list[np.ndarray], end: int, rows: int) -> list[tuple[int, int]]:
     return list(zip(picked.tolist(), np.diff(np.append(picked, end)).tolist(), strict=True))
 
 
-def _centres(buckets: DataFrame) -> DataFrame:
-    """(key, centre): the member whose buckets hold most nodes, the least of several.
+def _weights(buckets: DataFrame) -> DataFrame:
+    """(node, weight): how many nodes a node's buckets hold.
 
-    The text that copies were made from shares more keys with them than they
-    share with each other, so its star leaves few components.
+    A text that copies were made from shares more keys with them than they
+    share with each other, so a star at the heaviest leaves few components.
     """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    weights = buckets.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
-    best = F.max_by(F.struct("node"), F.struct("weight", (-F.col("node")).alias("early")))
-    return buckets.join(weights, "node").groupBy("key").agg(best["node"].alias("centre"))
+    return buckets.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
 
 
-def grouped(docs: DataFrame, width: int = 4, similarity: int = 80) -> DataFrame:
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's members with a centre of another component.
+
+    ``members`` holds key, node, component and weight.  The centre is the
+    heaviest member, the least of several, that is not in the component of the
+    heaviest of all; where every member is still alone, the heaviest of all.
+    """
+    best = F.max_by(F.struct("node", "component"), F.struct("weight", (-F.col("node")).alias("early")))
+    first = members.groupBy("key").agg(best.alias("f"), F.countDistinct("component").alias("parts"), F.count("*").alias("n"))
+    apart = members.join(first, "key").where((F.col("parts") == F.col("n")) | (F.col("component") != F.col("f.component")))
+    centres = apart.groupBy("key").agg(best.alias("c")).select("key", "c.node", "c.component").toDF("key", "centre", "own")
+    return members.join(centres, "key").where(F.col("component") != F.col("own")).select(
+        F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+
+
+def _dealt(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with group and part: two blocks of the clusters they lie in.
+
+    Pairs of one neighbourhood come to the same part, whatever their number, and
+    a part holds two blocks of nodes.
+    """
+    own = F.coalesce("component", "node")
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = clusters.join(sizes, "component").select(
+        "node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    side = lambda x: placed.select(
+        F.col("node").alias(x), F.struct(own.alias("c"), F.col("block").alias("k")).alias(f"at_{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    at = lambda x: F.coalesce(f"at_{x}", F.struct(F.col(x).alias("c"), F.lit(0).cast("long").alias("k")))
+    low, high = F.least(at("a"), at("b")), F.greatest(at("a"), at("b"))
+    return both.select("a", "b", low["c"].alias("group"), F.xxhash64(low["k"], high["c"], high["k"]).alias("part"))
+
+
+def grouped(docs: DataFrame, width: int = 4, similarity: int = 80, stars: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id an integer).
 
     Documents are linked when ``100 * intersection >= similarity * union`` of their
@@ -346,28 +377,25 @@ def grouped(docs: DataFrame, width: int = 4, similarity: int = 80) -> DataFrame:
     buckets = durable(_crowded(_indexed(sets)))
     texts = docs.select(F.col("doc_id").alias("node"), "text")
 
-    stars = buckets.join(_centres(buckets), "key").where("node <> centre").select(
-        F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = durable(_within(stars, sets, similarity))
-    parts = stars.groupBy(F.col("b").alias("group")).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    dealt = stars.join(parts, F.col("b") == F.col("group")).select(
-        "a", "b", "group", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
-    links = durable(_confirmed(dealt, texts, width, similarity))
-    labels = durable(components(links))
-
-    members = durable(_labelled(buckets, labels).join(_open(buckets, labels), "key"))
-    pairs = _rest(members.select("key", "node", "component"), sets, similarity)
-    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
+    weights = durable(_weights(buckets))
+
+    links = tried = None
+    members = buckets.withColumn("component", F.col("node"))
+    for _ in range(stars):
+        pairs = _stars(members.join(weights, "node"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = durable(_within(durable(pairs), sets, similarity))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        clusters = durable(components(tried))
+        new = durable(_confirmed(_dealt(pairs, clusters), texts, width, similarity))
+        links = new if links is None else links.unionByName(new)
+        labels = durable(components(links))
+        members = durable(_labelled(buckets, labels).join(_open(buckets, labels), "key"))
+    pairs = durable(_rest(members, sets, similarity).join(tried, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
-        near = durable(components(pairs).withColumn("block", F.xxhash64("node")))
-        blocks = near.groupBy(F.col("component").alias("group")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        near = near.join(blocks, F.col("component") == F.col("group")).select(
-            "node", "group", "blocks", F.pmod("block", "blocks").alias("block"))
-        dealt = pairs.join(near.select(F.col("node").alias("a"), "group", "blocks", F.col("block").alias("i")), "a").join(
-            near.select(F.col("node").alias("b"), F.col("block").alias("j")), "b"
-        ).select("a", "b", "group", (F.least("i", "j") * F.col("blocks") + F.greatest("i", "j")).alias("part"))
-        labels = durable(components(links.unionByName(_confirmed(dealt, texts, width, similarity))))
+        new = _confirmed(_dealt(pairs, clusters), texts, width, similarity)
+        labels = durable(components(links.unionByName(new)))
     of_set = sets.select("print_a", "print_b", "n_shingles", "node").join(labels, "node", "left").select(
         "print_a", "print_b", "n_shingles", F.coalesce("component", "node").alias("component")
     )
