@@ -86,3 +86,33 @@ def test_templates_are_learned(labelled):
 def test_repeated_pages_are_each_judged(labelled):
     twice = labelled[0].union(labelled[0])
     assert urls.judged(twice, rules=(), labels=labelled[1]).count() == 1200
+
+
+def test_unlabelled_templates_follow_what_lies_nearest(spark):
+    """Siblings, then path prefix, host and parent domain; the overall share only where nothing is near."""
+    marked = [
+        *[(f"http://a.one.test/bad/x-{i}", True) for i in range(8)], *[(f"http://a.one.test/good/x-{i}", False) for i in range(8)],
+        *[(f"http://b.two.test/p{'qrs'[i % 3]}/x", True) for i in range(6)], *[(f"http://c.three.test/{i}", False) for i in range(9)],
+        ("http://single.four.test/k", True),
+    ]
+    asked = {
+        "http://a.one.test/bad/deep/new": "block", "http://a.one.test/good/deep/new": "allow", "http://b.two.test/pz/x": "block",
+        "http://b.two.test/": "block", "http://new.two.test/a": "block", "http://u@c.three.test:80/q": "allow",
+        "http://new.three.test/a": "allow", "http://1.2.3.4/z": "allow",
+        "http://single.four.test/k/below": "block",
+    }
+    rows = [u for u, _ in marked] + list(asked)
+    frame = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    marks = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(marked)], "page_id long, bad boolean")
+    got = {r["page_id"]: r for r in urls.judged(frame, rules=(), labels=marks).collect()}
+    assert len(got) == len(rows)
+    assert {u: got[len(marked) + i]["verdict"] for i, u in enumerate(asked)} == asked
+    share = sum(b for _, b in marked) / len(marked)
+    assert got[len(marked) + 7]["purity"] == pytest.approx(share)
+    others = (sum(b for _, b in marked[:-1]) + 4 * share) / (len(marked) - 1 + 4)  # in test, not in four.test
+    assert got[len(marked) + 8]["purity"] == pytest.approx((1 + 4 * others) / 5)  # one label, counted once
+
+
+def test_unjudged_pages_of_a_table_get_both_verdicts(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert {r["verdict"] for r in urls.judged(given).where("rule IS NULL").collect()} == {"allow", "block"}
