@@ -3,11 +3,13 @@
 A page's containers are scored by their prose (text outside links and outside
 elements that are never article text); the innermost one that holds most of it
 votes for its path of generalised tags and classes.  Spark counts the votes of each
-host, and every page is extracted anew along the paths its host has chosen.
+host, and every page is extracted anew along the path with most votes among those
+that hold all of its prose.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -204,22 +206,19 @@ class Page:
                 found = c
         return found
 
-    def chosen(self, paths: list[str], share: float = 0.5) -> list[list]:
-        """The containers of the first path that holds at least ``share`` of the
-        prose of the page's own best container, else that one."""
-        own = self.best()
+    def fitting(self) -> dict[str, list[list]]:
+        """By key of their path, the containers of every path that together hold all of the page's prose."""
+        total = self.prose[-1]
         by_path: dict[str, list] = {}
-        for c in self.containers:
+        for c in self.containers if total else ():
             by_path.setdefault(c[0], []).append(c)
-        for path in paths:
-            found, end = [], -1
-            for c in by_path.get(path, ()):
-                if c[1] >= end:  # not inside the one before
-                    found.append(c)
-                    end = c[2]
-            if found and sum(map(self.score, found)) >= share * self.score(own):
-                return found
-        return [own]
+        return {_key(path): found for path, found in by_path.items() if sum(map(self.score, found)) >= total}
+
+    def chosen(self, key: str | None) -> list[list]:
+        """The containers under ``key`` if they hold all of the prose, else the innermost
+        container that does, or the whole page."""
+        found = self.fitting().get(key) if key else None
+        return found or [self.best(1.0) if self.prose[-1] else ["", 0, len(self.chunks)]]
 
     def text(self, containers: list[list]) -> str:
         blocks: list[str] = []
@@ -241,48 +240,76 @@ def _raw_end(source: str, tag: str, at: int) -> int:
     return m.start() if m else -1
 
 
-def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): how many of a host's pages have their best container on a path."""
+def _key(path: str) -> str:
+    return hashlib.md5(path.encode(errors="replace")).hexdigest()
+
+
+def _cast(pages: DataFrame) -> DataFrame:
+    """(host, path, fits) of every page: its vote and the keys of the paths that hold all of its prose."""
 
     def vote(batches):
         names = _Names()
         for batch in small_batches(batches):
-            paths = [Page(h, names).best()[0] if h else "" for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["host", "path"])
+            read = [Page(h or "", names) for h in batch.column(1).to_pylist()]
+            paths = pa.array([page.best()[0] for page in read], pa.string())
+            fits = pa.array([sorted(page.fitting()) for page in read], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), paths, fits], ["host", "path", "fits"])
 
-    cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string")
-    return cast.where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(
+        vote, "host string, path string, fits array<string>")
 
 
-def consensus(counted: DataFrame, most: int = 8) -> DataFrame:
-    """(host, paths): a host's ``most`` paths of most votes, best first; ties by path."""
-    order = W.partitionBy("host").orderBy(F.desc("votes"), "path")
-    ranked = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    return ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("ranked")).select(
-        "host", F.col("ranked.path").alias("paths")
+def votes(pages: DataFrame) -> DataFrame:
+    """(host, path, votes): how many of a host's pages have their best container on a path."""
+    return _cast(pages).where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("votes"))
+
+
+def consensus(cast: DataFrame) -> DataFrame:
+    """(host, fits, key): of the paths a page can use, the one with most votes of its
+    host; ties by path.  Every path with a vote counts; pages whose paths are the
+    same are answered once."""
+    seen = durable(cast.groupBy("host", "path", "fits").agg(F.count("*").alias("n")))
+    counted = seen.where("path <> ''").groupBy(F.col("host").alias("h"), "path").agg(F.sum("n").alias("votes"))
+    asked = seen.where(F.size("fits") > 1).select("host", "fits").distinct()
+    return (
+        asked.select("host", "fits", F.explode("fits").alias("key"))
+        .join(counted.withColumn("k", F.md5("path")), (F.col("host") == F.col("h")) & (F.col("key") == F.col("k")))
+        .groupBy("host", "fits").agg(F.min(F.struct(-F.col("votes"), "path", "key"))["key"].alias("key"))
     )
 
 
-def extracted(pages: DataFrame, most: int = 8) -> DataFrame:
+def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and path (of the container used) for every row of ``pages``.
 
     A null or empty html has an empty text.  Pages whose url has no host vote
-    together.  Rows may repeat; each votes and is extracted.  A page on which none
-    of its host's paths holds half the prose of its own best container is extracted
-    from that container.
+    together.  Rows may repeat; each votes and is extracted.  A host's path is used
+    only where it holds all of a page's prose; otherwise the page's innermost container
+    that does is used.  Only links outside the container are lost, and none of a page
+    without prose.
     """
-    chosen = checked_broadcast(durable(consensus(votes(pages), most)).withColumnRenamed("host", "h"))
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(chosen, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "paths")
+    chosen = checked_broadcast(durable(consensus(_cast(pages)).select(
+        F.col("host").alias("h"), F.col("fits").alias("f"), "key")))
     kind = dict(pages.dtypes)["page_id"]
 
+    def fit(batches):
+        names = _Names()
+        for batch in small_batches(batches):
+            fits = [sorted(Page(h or "", names).fitting()) for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(fits, pa.list_(pa.string()))], ["page_id", "url", "html", "host", "fits"])
+
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).mapInArrow(
+        fit, f"page_id {kind}, url string, html string, host string, fits array<string>")
+    rows = rows.join(chosen, (F.col("host") == F.col("h")) & (F.col("fits") == F.col("f")), "left").select(
+        "page_id", "url", "html", "key")
+
     def extract(batches):
         names = _Names()
         for batch in small_batches(batches):
             texts, used = [], []
-            for source, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for source, key in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 page = Page(source or "", names)
-                found = page.chosen(paths or [])
+                found = page.chosen(key)
                 texts.append(page.text(found))
                 used.append(found[0][0])
             yield pa.RecordBatch.from_arrays(

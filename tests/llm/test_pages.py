@@ -43,6 +43,36 @@ def test_host_agrees_on_a_path(spark):
     assert got[9].startswith("few words") and got[9].endswith("quoted text")
 
 
+
+KEPT = [
+    ("<article><h1>Head</h1><p>lead words</p><div class=content><p>" + "rest of it " * 40 + "</p></div></article>",
+     "Head lead words " + ("rest of it " * 40).strip()),
+    ("<body><div class=content><p>" + "one half " * 20 + "</p></div><div class=more><p>" + "other half " * 16 + "</p></div></body>",
+     ("one half " * 20 + "other half " * 16).strip()),
+    ("<div><a>first</a></div><div><a>second</a></div>", "first second"),
+]
+
+
+def test_no_prose_is_dropped(spark):
+    """Heading and lead outside the inner div, text beside the host's path, a page of links only."""
+    usual = "<body><div class=content><p>" + "usual words " * 30 + "</p></div></body>"
+    rows = [(i, "http://x.example/p", h) for i, (h, _) in enumerate(KEPT)] + [(i, "http://x.example/p", usual) for i in range(9, 15)]
+    rows += [(20 + i, f"http://y{i}.example/p", h) for i, (h, _) in enumerate(KEPT)]
+    got = {r["page_id"]: r["text"] for r in pages.extracted(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in range(3)} == {i: t for i, (_, t) in enumerate(KEPT)}
+    assert {i - 20: got[i] for i in range(20, 23)} == {i: t for i, (_, t) in enumerate(KEPT)}
+
+
+def test_every_path_with_votes_counts(spark):
+    """The ninth path of a host decides for its pages as the first does."""
+    page = lambda k, a, b: f"<body><div class=k{k * 'x'}><p>{a}</p><div class=in><p>{b}</p><a>link</a></div><a>more</a></div></body>"
+    rows = [(i, "http://x.example/p", page(i // 4, "long words " * 20, "few")) for i in range(48)]
+    rows.append((99, "http://x.example/p", page(11, "", "only inside")))
+    got = {r["page_id"]: r for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (got[99]["text"], got[99]["path"]) == ("only inside link more", "/body/div.k" + 11 * "x")
+
+
 URLS = [
     ("http://A.Net/x/1", "a.net", "/x/1", "net/", "block"), ("https://b.example.net/en/5?q", "b.example.net", "/en/5", "example.net/en/", "allow"),
     ("https://example.com/de/", "example.com", "/de/", "example.com/de/", "block"), ("x://notexample.com/de/", "notexample.com", "/de/", None, None),
