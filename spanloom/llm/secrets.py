@@ -59,6 +59,26 @@ def secret_part(text: str, span: Span) -> tuple[int, int]:
     return m.start(2), m.end(2)
 
 
+_REST = re.compile(r"[0-9A-Za-z+/_.\x80-\U0010ffff-](?:.*[0-9A-Za-z+/_.\x80-\U0010ffff-])?", re.S)
+_WORDED = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]")
+
+
+def beside(text: str, start: int, end: int, base: list[Span]) -> list[tuple[int, int]]:
+    """The parts of a learned run outside the base finds, each from its first to its
+    last token character; a part of marks only is none."""
+    parts = []
+    for _, x, y in base:  # in order of their starts
+        if x >= end:
+            break
+        if x > start:
+            parts.append((start, x))
+        start = max(start, y)
+    if start < end:
+        parts.append((start, end))
+    found = [m.span() for a, b in parts if (m := _REST.search(text, a, b))]
+    return [(a, b) for a, b in found if _WORDED.search(text, a, b)]
+
+
 # --- tokens and features of a batch ---------------------------------------------------
 
 _TOKEN = np.zeros(256, bool)
@@ -307,8 +327,8 @@ def _joined(spans: list[Span]) -> str:
 def scanned(docs: DataFrame, **options) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans and n_learned per row.
 
-    Base finds always stay; the model adds what overlaps none of them.  Null and
-    empty texts have no spans.  Positions are code points, ends exclusive.
+    Base finds always stay; the model adds what lies outside them, also of a run
+    that goes on before or behind one.  Null and empty texts have no spans.  Positions are code points, ends exclusive.
     """
     model = docs.sparkSession.sparkContext.broadcast(learned_model(docs, **options))
     kind = dict(docs.dtypes)["doc_id"]
@@ -332,7 +352,7 @@ def scanned(docs: DataFrame, **options) -> DataFrame:
             rows = []
             for k, value in enumerate(batch.column(1).to_pylist()):
                 base = base_spans(value or "")
-                new = [("learned", a, b) for a, b in extra.get(k, ()) if all(b <= x or a >= y for _, x, y in base)]
+                new = [("learned", *part) for run in extra.get(k, ()) for part in beside(value, *run, base)]
                 counts = [sum(s[0] == x for s in base) for x in KINDS[:3]]
                 rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(),
                              _joined(sorted(base + new, key=_place)), len(new)))

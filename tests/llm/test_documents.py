@@ -148,6 +148,24 @@ def test_secrets_learned_from_base_finds(spark):
     assert sum(n for _, n in got.values()) == 1
 
 
+def test_learned_run_goes_on_behind_a_base_find(spark):
+    rng = random.Random(5)
+    words = plain.vocabulary(rng)
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOP0123456789") for _ in range(16))
+    rows = [(i, f"{rng.choice(words)} use {key()} {rng.choice(words)} {rng.choice(words)}" if i % 3 == 0 else
+             " ".join(rng.choice(words) for _ in range(12))) for i in range(150)]
+    first = key()
+    rows += [(900, f"go use {first}/q8Zk3bTx9 now"), (901, f"go use {first}. now")]
+    got = by_id(secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string")), "spans", "n_learned")
+    assert got[900] == ("access:7:27,learned:27:37", 1)
+    assert got[901] == ("access:7:27", 0)
+    base = [("access", 3, 9), ("hex", 5, 12)]
+    text = "ab@defghijkl@mno\" )"
+    assert secrets.beside(text, 0, 19, base) == [(0, 2), (13, 16)]
+    assert secrets.beside(text, 13, 16, base) == [(13, 16)]
+    assert secrets.beside(text, 4, 12, base) == []
+
+
 def test_viterbi_equals_plain_search():
     import itertools
 
