@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, lines, mixing, near, pages, quality, repeats, secrets, urls
+from . import codes, contamination, language, lines, mixing, near, pages, pieces, quality, repeats, secrets, urls
 from .common import spread, table
 
 QUERIES: dict = {}
@@ -109,3 +109,81 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.extracted(spread(table(spark, sf_dir, "pages")))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.transformed(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), output=False)
+
+
+ORACLES["op12_fill_in_middle"] = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), numbers AS (
+  SELECT *, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::UBIGINT::BIGINT) AS d FROM drawn
+), cuts AS (
+  SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 90 THEN 'plain'
+         WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM cuts
+), made AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM parts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output
+         WHEN 'psm' THEN split_part(substr(output, 4), '<S>', 1) || split_part(output, '<M>', 2) || split_part(split_part(output, '<S>', 2), '<M>', 1)
+         ELSE split_part(split_part(output, '<P>', 2), '<M>', 1) || split_part(output, '<M>', 2) || split_part(substr(output, 4), '<P>', 1)
+       END) AS restored_sha256
+FROM made
+"""
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return codes.coded(spread(vectors)).drop("label")
+
+
+def _codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """Lloyd rounds as chained common table expressions over single components."""
+    nearest = """
+near{k} AS MATERIALIZED (
+  SELECT rid, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT c.rid, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d
+    FROM comps c JOIN book{k} b ON b.part = c.part AND b.pos = c.pos GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+    step = """
+book{n} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (
+    SELECT c.part, g.entry, c.pos, floor(sum(c.x)::DOUBLE / count(*))::BIGINT AS x
+    FROM comps c JOIN near{k} g ON g.rid = c.rid AND g.part = c.part GROUP BY 1, 2, 3) m
+  ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos)"""
+    chain = [nearest.format(k=0)]
+    for k in range(rounds):
+        chain += [step.format(k=k, n=k + 1), nearest.format(k=k + 1)]
+    return f"""
+WITH sound AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), comps AS MATERIALIZED (
+  SELECT rid, (i - 1) // (len(e) // {codes.PARTS}) AS part, (i - 1) % (len(e) // {codes.PARTS}) AS pos,
+         floor({codes.SCALE} * e[i]::DOUBLE)::BIGINT AS x
+  FROM (SELECT rid, e, unnest(generate_series(1, len(e))) AS i FROM sound)
+), seeds AS (
+  SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM sound ORDER BY vec_id LIMIT {codes.ENTRIES}
+), book0 AS MATERIALIZED (
+  SELECT c.part, s.entry, c.pos, c.x FROM comps c JOIN seeds s USING (rid)
+), {",".join(chain)},
+coded AS (
+  SELECT rid, lower(string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part)) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY rid
+)
+SELECT s.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY s.label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM sound s JOIN coded c USING (rid)
+"""
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
