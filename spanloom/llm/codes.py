@@ -66,8 +66,8 @@ class Cells:
             splits = (last - first > LEAF) & (radius > 0)
             if not splits.any():
                 break
-            held = splits[owner - here] & (owner >= here)
-            places = np.flatnonzero(held)
+            places = np.flatnonzero(owner >= here)
+            places = places[splits[owner[places] - here]]
             member, parent = order[places], owner[places] - here
             new, centres, parents = self._divided(points, member, parent, centre, radius)
             again = np.argsort(new, kind="stable")  # children of a parent are numbered in a row
