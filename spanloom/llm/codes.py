@@ -16,8 +16,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import checked_broadcast, durable
 
@@ -30,7 +32,7 @@ LIMIT = 1 << 27
 #: Rows of one block, components of one block, and points up to which a cell stays whole.
 BLOCK = 16_384
 BLOCK_COMPONENTS = 1 << 22
-LEAF = 8
+LEAF = 16
 
 
 # --- one block ----------------------------------------------------------------------
@@ -232,8 +234,26 @@ def kept(vectors: DataFrame) -> DataFrame:
 
 
 def _first(rows: DataFrame) -> list[list[int]]:
-    """The vectors of the 16 smallest ids, nulls last; of equal ids the least vector."""
-    per_id = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    """The vectors of the 16 smallest ids, nulls last; of equal ids the least vector.
+    Every task hands on its own 16, so vectors are not shuffled."""
+    kind = rows.schema["vec_id"].dataType.simpleString()
+
+    def least(batches):
+        best: dict = {}
+        for batch in batches:
+            ids = batch.column("vec_id")
+            held = pc.unique(pa.concat_arrays([ids, pa.array(list(best), ids.type)]))
+            lead = held.take(pc.sort_indices(held)[:ENTRIES])  # nulls come last
+            near = batch.filter(pc.is_in(ids, lead))
+            for k, v in zip(near.column("vec_id").to_pylist(), near.column("v").to_pylist(), strict=True):
+                best[k] = min(best.get(k, v), v)
+            best = {k: best[k] for k in lead.to_pylist()}
+        if best:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(best), rows_type), pa.array(list(best.values()), pa.list_(pa.int32()))], ["vec_id", "v"])
+
+    rows_type = to_arrow_type(rows.schema["vec_id"].dataType)
+    per_id = rows.select("vec_id", "v").mapInArrow(least, f"vec_id {kind}, v array<int>").groupBy("vec_id").agg(F.min("v").alias("v"))
     return [list(r.v) for r in per_id.orderBy(F.col("vec_id").asc_nulls_last()).limit(ENTRIES).collect()]
 
 

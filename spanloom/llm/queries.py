@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, contamination, language, lines, mixing, near, pages, pieces, quality, repeats, secrets, urls
+from . import codes, contamination, language, lines, mixing, near, pages, pieces, private, quality, repeats, secrets, urls
 from .common import spread, table
 
 QUERIES: dict = {}
@@ -187,3 +187,8 @@ FROM sound s JOIN coded c USING (rid)
 
 
 ORACLES["op13_vector_codes"] = _codes_sql()
+
+
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.scanned(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text", "finds", "terms")
