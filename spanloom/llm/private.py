@@ -100,13 +100,13 @@ FOUND = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 def found(text: Column) -> Column:
     """All base finds of a text: (start, kind, end, value), by start and then kind."""
-    nothing = F.array().cast(FOUND)
-    kinds = [
-        F.when(may(text), F.transform(F.filter(placed(text, pattern), lambda m, holds=holds: holds(m["value"])), lambda m, k=k: F.struct(
+    def of_kind(k, may, pattern, holds):
+        fitting = F.filter(placed(text, pattern), lambda m: holds(m["value"]))
+        return F.when(may(text), F.transform(fitting, lambda m: F.struct(
             m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), m["value"].alias("value")
-        ))).otherwise(nothing)
-        for k, (may, pattern, holds) in enumerate(TESTS)
-    ]
+        ))).otherwise(F.array().cast(FOUND))
+
+    kinds = [of_kind(k, *test) for k, test in enumerate(TESTS)]
     return F.sort_array(F.concat(*kinds))
 
 
@@ -185,7 +185,8 @@ def windows(docs: DataFrame) -> DataFrame:
     finds = F.col("finds")
     per_text = let(free_words(F.col("text"), finds), lambda f: F.transform(
         finds, lambda m, k: window(f["words"], f["ranks"], m, k)))
-    return docs.where(F.size("finds") > 0).select(F.xxhash64("text").alias("text"), F.inline(per_text))
+    rows = docs.where(F.size("finds") > 0).select(F.xxhash64("text").alias("version"), per_text.alias("near"))
+    return rows.select(F.col("version").alias("text"), F.inline("near"))
 
 
 def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -198,10 +199,14 @@ def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     allowed = F.when(F.col("n_g") > F.col("n_e"), F.col("n_e") / F.col("n_g")).otherwise(F.col("n_e") / F.col("n_k"))
     about = about.groupBy("entity").agg(F.max(allowed).alias("allowed"))
 
+    # a side is known by its least term but the one in question
+    two = lambda side: F.slice(F.array_sort(F.array_distinct(side)), 1, 2)
     near = seen.select(
-        "entity", "text", F.coalesce(F.array_min("before"), F.lit(0)).alias("left"), F.coalesce(F.array_min("after"), F.lit(0)).alias("right"),
+        "entity", "text", two("before").alias("left"), two("after").alias("right"),
         F.explode(F.array_distinct(F.concat("before", "after"))).alias("term"),
     )
+    other = lambda side: F.coalesce(F.get(F.filter(side, lambda x: x != F.col("term")), F.lit(0)), F.lit(0))
+    near = near.select("entity", "text", "term", other("left").alias("left"), other("right").alias("right"))
     pairs = near.groupBy("entity", "term").agg(
         F.count_distinct("text").alias("n"), F.count_distinct("left").alias("lefts"), F.count_distinct("right").alias("rights"))
     beside = near.groupBy("term").agg(F.count_distinct("text").alias("n_near"))
@@ -226,9 +231,6 @@ def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return durable(told), postings
 
 
-SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
-
-
 def _spelled(spans: Column) -> Column:
     kinds = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
@@ -257,7 +259,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     hits = F.transform(free_words(F.col("text"), F.col("finds"))["words"], lambda w: F.struct(
         w["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), w["end"].alias("end"), action(w).alias("value")))
     rows = rows.withColumn("terms", F.when(
-        F.col("gone").isNotNull(), F.filter(hits, lambda s: s["value"].isNotNull())).otherwise(F.array().cast(SPANS)))
+        F.col("gone").isNotNull(), F.filter(hits, lambda s: s["value"].isNotNull())).otherwise(F.array().cast(FOUND)))
     count = lambda k: F.size(F.filter("finds", lambda m: m["kind"] == k)).cast("long")
     return rows.select(
         "doc_id", "text", "finds", "terms", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)],

@@ -57,7 +57,7 @@ def entity(span):
     _, k, _, v = span
     digits = re.sub("[^0-9]", "", v)
     name = v.lower() if k == 0 else v if k == 1 else digits
-    general = (v.lower().split("@")[1], v.rsplit(".", 1)[0], digits[:6], digits[:-7])[k]
+    general = (v.lower().split("@")[-1], v.rsplit(".", 1)[0], digits[:6], digits[:-7])[k]
     return (k, name), (k, general)
 
 
@@ -85,8 +85,8 @@ def told(texts):
             for w in before | after:
                 pairs[e, w].add(t)
                 near[w].add(t)
-                left[e, w].add(before)
-                right[e, w].add(after)
+                left[e, w].add(before - {w})
+                right[e, w].add(after - {w})
     out = {}
     chance = {(e, w): len(ts) / len(hold[w]) for (e, w), ts in pairs.items()}
     tied = {key for key, ts in pairs.items() if len(ts) >= 2 and chance[key] >= private.GENERALISE}
