@@ -13,8 +13,8 @@ differ on both sides of the entity; and an entity most of whose surroundings rec
 with it stands in copied text and is left out.
 
 All of it is columns and joins.  Only words near an entity are paired with it (a
-window ends at the next entity, so a word has at most two), and only pairs that
-could pass are counted over the corpus.
+window ends at the next entity, so a word has at most two), and only terms of pairs
+that could pass are counted over the corpus.
 """
 
 from __future__ import annotations
@@ -34,7 +34,11 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?(?:\.|$)){4}$"
 WORD = r"[\p{L}\p{M}\p{N}]+"
+#: What may be an entity when surroundings are counted: the four together, leftmost first.
+ANY = "|".join((EMAIL.replace(r"\G|", ""), IP.replace(r"\G|", ""), r"[0-9](?:[\x20-]?+[0-9]){11,}+", PHONE))
 
+#: Values per block of a running total.
+BLOCK = 256
 #: Words of a window on either side of an entity.
 WINDOW = 12
 #: Distinct surroundings a term needs on either side; chances of the entity from which a term is generalised
@@ -46,13 +50,22 @@ COPIED = 0.25
 
 
 def running(values: Column, op) -> Column:
-    """``op`` over the first 1, 2, ... values (no nulls), in log n rounds."""
-    def rounds(v):
-        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(v), F.lit(2)))).cast("int") - 1)
-        return F.aggregate(steps, v, lambda acc, j: F.transform(
-            acc, lambda x, i: F.coalesce(op(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), j))), x)
-        ))
-    return let(values, rounds)
+    """``op`` over the first 1, 2, ... values (no nulls): within blocks, then over the
+    blocks' last values, so that no long array is copied per value."""
+    def grown(block):
+        return F.aggregate(block, F.array().cast("array<int>"), lambda acc, x: F.concat(
+            acc, F.array(F.coalesce(op(F.get(acc, F.size(acc) - 1), x), x))))
+
+    def joined(blocks):
+        ends = grown(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)))
+        return let(ends, lambda e: F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(
+            F.transform(b, lambda x: op(F.get(e, i - 1), x))))))
+
+    def blocks(v):
+        starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / BLOCK).cast("int"))
+        return let(F.transform(starts, lambda k: grown(F.slice(v, k * BLOCK + 1, BLOCK))), joined)
+
+    return let(values, lambda v: F.when(F.size(v) > 0, blocks(v)).otherwise(v))
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -140,59 +153,40 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _term))
 
 
-def free_words(text: Column, finds: Column) -> Column:
-    """(words, ranks): the words of a text outside its finds, as (start, end, term), and
-    how many of them stand before each find."""
-    def marked(line):
-        # line: finds and words by start; a word is covered from the left by an earlier find, or runs into the next one
-        reach = running(F.transform(line, lambda x: F.when(x["kind"] < 0, F.lit(0)).otherwise(x["end"])), lambda a, b: F.greatest(a, b))
-        ahead = running(
-            F.transform(F.reverse(line), lambda x: F.when(x["kind"] < 0, F.lit(2**31 - 1)).otherwise(x["start"])),
-            lambda a, b: F.least(a, b),
-        )
-        def free(r, b):
-            return F.transform(line, lambda x, i: F.when(
-                (x["kind"] < 0) & (F.get(r, i) <= x["start"]) & (F.get(b, F.size(b) - 1 - i) >= x["end"]), F.lit(1)
-            ).otherwise(F.lit(0)))
-        def split(flags):
-            words = F.transform(F.filter(line, lambda x, i: F.get(flags, i) == 1), lambda x: F.struct(
-                x["start"].alias("start"), x["end"].alias("end"), x["term"].alias("term")))
-            ranks = let(running(flags, _plus), lambda n: F.filter(
-                F.transform(line, lambda x, i: F.when(x["kind"] >= 0, F.get(n, i))), lambda r: r.isNotNull()))
-            return F.struct(words.alias("words"), ranks.alias("ranks"))
-        return let(reach, lambda r: let(ahead, lambda b: let(free(r, b), split)))
-
-    every = F.transform(placed(text, WORD), lambda w: F.struct(
-        w["start"].alias("start"), F.lit(-1).alias("kind"), w["end"].alias("end"), _term(w["value"]).alias("term")))
-    taken = F.transform(finds, lambda m: F.struct(
-        m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), F.lit(0).cast("long").alias("term")))
-    return let(F.sort_array(F.concat(taken, every)), marked)
-
-
 def windows(docs: DataFrame) -> DataFrame:
-    """One row per find: text (its hash), entity and general (hashes), kind, and the
-    terms before and after it."""
-    def window(words, ranks, m, k):
-        at = F.get(ranks, k)
-        low = F.greatest(F.coalesce(F.get(ranks, k - 1), F.lit(0)), at - WINDOW)
-        high = F.least(F.coalesce(F.get(ranks, k + 1), F.size(words)), at + WINDOW)
-        side = lambda a, b: F.transform(F.slice(words, a + 1, b - a), lambda w: w["term"])
+    """One row per entity of a text: text (its hash), kind, entity and general (hashes), and
+    the terms before and after it, up to the next thing that looks like an entity."""
+    text = F.col("text")
+    holds = lambda value, kind: F.when(kind == 0, F.lit(True)).when(kind == 1, TESTS[1][2](value)).when(
+        kind == 2, TESTS[2][2](value)).otherwise(TESTS[3][2](value))
+    kind = lambda v: F.when(F.contains(v, F.lit("@")), 0).when(F.startswith(v, F.lit("+")), 3).when(
+        F.contains(v, F.lit(".")), 1).otherwise(2)
+    like = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v, i: F.struct(
+        i.alias("place"), kind(v).alias("kind"), v.alias("value")))
+    pieces = F.transform(F.split(text, ANY, -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(WORD), F.lit(0)), _term))
+
+    def window(words, m):
+        left = F.get(words, m["place"])
         return F.struct(
             m["kind"].alias("kind"), F.xxhash64(entity(m)).alias("entity"), F.xxhash64(generalised(m)).alias("general"),
-            side(low, at).alias("before"), side(at, high).alias("after"),
+            F.slice(left, F.greatest(F.size(left) - WINDOW, F.lit(0)) + 1, WINDOW).alias("before"),
+            F.slice(F.get(words, m["place"] + 1), 1, WINDOW).alias("after"),
         )
 
-    finds = F.col("finds")
-    per_text = let(free_words(F.col("text"), finds), lambda f: F.transform(
-        finds, lambda m, k: window(f["words"], f["ranks"], m, k)))
-    rows = docs.where(F.size("finds") > 0).select(F.xxhash64("text").alias("version"), per_text.alias("near"))
+    mentions = F.filter(like, lambda m: holds(m["value"], m["kind"]))
+    near = let(mentions, lambda found_: F.when(F.size(found_) > 0, let(pieces, lambda words: F.transform(
+        found_, lambda m: window(words, m)))))
+    may = F.lit(False)
+    for test, _, _ in TESTS:
+        may = may | test(text)
+    rows = docs.where(may).select(F.xxhash64("text").alias("version"), near.alias("near"))
     return rows.select(F.col("version").alias("text"), F.inline("near"))
 
 
 def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The disclosing terms (term hash, chance, action) and the postings (term, text) of
     all terms that were in question."""
-    seen = durable(windows(docs.withColumn("finds", found(F.col("text")))))
+    seen = durable(windows(docs))
     texts = lambda key, name: seen.groupBy(key).agg(F.count_distinct("text").alias(name))
     about = seen.select("entity", "general", "kind").distinct()
     about = about.join(texts("entity", "n_e"), "entity").join(texts("general", "n_g"), "general").join(texts("kind", "n_k"), "kind")
@@ -255,11 +249,12 @@ def scanned(docs: DataFrame) -> DataFrame:
     marks = checked_broadcast(durable(marks))
     rows = docs.withColumn("finds", F.coalesce(found(F.col("text")), F.array().cast(FOUND))).withColumn("version", F.xxhash64("text"))
     rows = rows.join(marks, "version", "left")
-    action = lambda w: F.when(F.array_contains("gone", w["term"]), "remove").when(F.array_contains("vague", w["term"]), "generalise")
-    hits = F.transform(free_words(F.col("text"), F.col("finds"))["words"], lambda w: F.struct(
-        w["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), w["end"].alias("end"), action(w).alias("value")))
-    rows = rows.withColumn("terms", F.when(
-        F.col("gone").isNotNull(), F.filter(hits, lambda s: s["value"].isNotNull())).otherwise(F.array().cast(FOUND)))
+    action = lambda w: F.when(F.array_contains("gone", _term(w)), "remove").when(F.array_contains("vague", _term(w)), "generalise")
+    hits = F.filter(F.transform(placed(F.col("text"), WORD), lambda w: F.struct(
+        w["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), w["end"].alias("end"), action(w["value"]).alias("value")
+    )), lambda s: s["value"].isNotNull())
+    free = F.filter(hits, lambda s: ~F.exists("finds", lambda m: (m["start"] < s["end"]) & (s["start"] < m["end"])))
+    rows = rows.withColumn("terms", F.when(F.col("gone").isNotNull(), free).otherwise(F.array().cast(FOUND)))
     count = lambda k: F.size(F.filter("finds", lambda m: m["kind"] == k)).cast("long")
     return rows.select(
         "doc_id", "text", "finds", "terms", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)],

@@ -18,6 +18,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 ORDER = [*PATTERNS, "term"]
+ANY = "|".join((r"(?<![A-Za-z0-9._%+-])" + PATTERNS["email"], "(?<![0-9])" + PATTERNS["ip"], r"[0-9](?:[\x20-]?[0-9]){11,}", PATTERNS["phone"]))
 
 
 def luhn(digits):
@@ -68,20 +69,20 @@ def told(texts):
     near, generals = defaultdict(set), defaultdict(set)
     hold = defaultdict(set)
     for t in {t for t in texts if t}:
-        spans = base(t)
-        inside = words(t, spans)
-        ranks = [sum(w[0] < s[0] for w in inside) for s in spans]
         for w in re.finditer(r"[^\W_]+", t):
             hold[w[0].lower()].add(t)
-        for k, s in enumerate(spans):
-            e, g = entity(s)
+        marks = list(re.finditer(ANY, t))
+        edges = [0, *(x for m in marks for x in m.span()), len(t)]
+        pieces = [[w.lower() for w in re.findall(r"[^\W_]+", t[a:b])] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        for k, m in enumerate(marks):
+            kind = 0 if "@" in m[0] else 3 if m[0][0] == "+" else 1 if "." in m[0] else 2
+            if not holds(ORDER[kind], m[0]):
+                continue
+            e, g = entity((m.start(), kind, m.end(), m[0]))
             generals[e].add(g)
-            for key in (e, ("g", g), ("k", s[1])):
+            for key in (e, ("g", g), ("k", kind)):
                 seen[key].add(t)
-            low = max(ranks[k - 1] if k else 0, ranks[k] - private.WINDOW)
-            high = min(ranks[k + 1] if k + 1 < len(spans) else len(inside), ranks[k] + private.WINDOW)
-            before = frozenset(w[2] for w in inside[low : ranks[k]])
-            after = frozenset(w[2] for w in inside[ranks[k] : high])
+            before, after = frozenset(pieces[k][-private.WINDOW:]), frozenset(pieces[k + 1][: private.WINDOW])
             for w in before | after:
                 pairs[e, w].add(t)
                 near[w].add(t)
