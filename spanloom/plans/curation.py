@@ -233,12 +233,59 @@ def calibrated_thresholds(t):
     return best.select(*[F.round(c, 9).alias(c) for c in ("gate", "ceiling", "contra")], "n_right", "margin")
 
 
-@query("leave_one_out")
+FOLDS = """spots AS (
+  SELECT v, i, coalesce((lag(v) OVER (ORDER BY v) + nv) / 2, nv - 1e-6, lag(v) OVER (ORDER BY v) + 1e-6) AS at FROM cv),
+pspots AS (
+  SELECT v, i, coalesce((lag(v) OVER (ORDER BY v) + nv) / 2, nv - 1e-6, lag(v) OVER (ORDER BY v) + 1e-6) AS at FROM pv),
+held AS (
+  SELECT c.*, row_number() OVER () AS h, s.i AS ci, q.i AS qi, s.at AS c_at, q.at AS p_at,
+         round((SELECT min(abs(s.at - v)) FROM cv WHERE v <> c.cos), 9) AS c_margin,
+         round((SELECT min(abs(q.at - v)) FROM pv WHERE v <> c.p_contra), 9) AS p_margin,
+         sum(w) OVER (PARTITION BY c.cos) = 1 AS c_alone, sum(w) OVER (PARTITION BY c.p_contra) = 1 AS p_alone
+  FROM cells c JOIN spots s ON s.v = c.cos JOIN pspots q ON q.v = c.p_contra),
+counted AS (
+  SELECT g.i AS gi, c.i AS ci, k.i AS ki, g.cut AS gate, c.cut AS ceiling, k.cut AS contra, g.margin AS gm, c.margin AS cm, k.margin AS km,
+         sum(CASE WHEN relation = CASE WHEN cos < g.cut THEN 'unrelated'
+           WHEN same_story OR (same_story IS NULL AND p_contra >= k.cut) THEN 'contradicts'
+           WHEN cos >= c.cut THEN 'corroborates' ELSE 'related_untyped' END THEN w ELSE 0 END)::BIGINT AS n
+  FROM cm g JOIN cm c ON c.i >= g.i CROSS JOIN pm k CROSS JOIN cells GROUP BY ALL),
+options AS (
+  SELECT h, n - (relation = CASE WHEN cos < gate THEN 'unrelated'
+           WHEN same_story OR (same_story IS NULL AND p_contra >= contra) THEN 'contradicts'
+           WHEN cos >= ceiling THEN 'corroborates' ELSE 'related_untyped' END)::BIGINT AS n,
+         CASE WHEN c_alone AND gi IN (x.ci - 1, x.ci) THEN c_at ELSE gate END AS gate,
+         CASE WHEN c_alone AND o.ci IN (x.ci - 1, x.ci) THEN c_at ELSE ceiling END AS ceiling,
+         CASE WHEN p_alone AND ki IN (qi - 1, qi) THEN p_at ELSE contra END AS contra,
+         round(CASE WHEN c_alone AND gi IN (x.ci - 1, x.ci) THEN c_margin ELSE gm END
+             + CASE WHEN c_alone AND o.ci IN (x.ci - 1, x.ci) THEN c_margin ELSE cm END
+             + CASE WHEN p_alone AND ki IN (qi - 1, qi) THEN p_margin ELSE km END, 9) AS margin
+  FROM held x CROSS JOIN counted o),
+most AS (SELECT h, max(n) AS n FROM options GROUP BY 1),
+widest AS (SELECT o.h, o.n, max(margin) AS margin FROM options o JOIN most m ON m.h = o.h AND m.n = o.n GROUP BY 1, 2),
+fitted AS (
+  SELECT o.h, arg_min({'gate': gate, 'ceiling': ceiling, 'contra': contra}, (gate, ceiling, contra)) AS t
+  FROM options o JOIN widest m ON m.h = o.h AND m.n = o.n AND m.margin = o.margin GROUP BY 1),
+folds AS (
+  SELECT cos, p_contra, same_story, relation, w AS weight, round(t.gate, 9) AS gate, round(t.ceiling, 9) AS ceiling, round(t.contra, 9) AS contra,
+         CASE WHEN cos < t.gate THEN 'unrelated' WHEN same_story OR (same_story IS NULL AND p_contra >= t.contra) THEN 'contradicts'
+              WHEN cos >= t.ceiling THEN 'corroborates' ELSE 'related_untyped' END AS predicted
+  FROM held JOIN fitted USING (h))"""
+
+
+@query("leave_one_out", D.with_(*relating.TYPED, SAMPLES.replace("graded AS (", "outcome AS ("), FOLDS) + "SELECT * FROM folds")
 def leave_one_out(t):
-    return K.leave_one_out(samples(t))
-
-
-@query("leave_one_out_scores")
+    return K.leave_one_out(samples(t)).withColumns({c: F.round(c, 9) for c in ("gate", "ceiling", "contra")})
+
+
+@query("leave_one_out_scores", D.with_(*relating.TYPED, SAMPLES.replace("graded AS (", "outcome AS ("), FOLDS) + """
+SELECT round(sum(weight) FILTER (relation = predicted) / sum(weight), 6) AS accuracy,
+       round(coalesce(sum(weight) FILTER (relation = 'contradicts' AND predicted = 'contradicts'), 0)
+             / nullif(coalesce(sum(weight) FILTER (predicted = 'contradicts'), 0), 0), 6) AS contradicts_precision,
+       round(coalesce(sum(weight) FILTER (relation = 'contradicts' AND predicted = 'contradicts'), 0)
+             / nullif(coalesce(sum(weight) FILTER (relation = 'contradicts'), 0), 0), 6) AS contradicts_recall,
+       round(coalesce(sum(weight) FILTER (relation = 'corroborates' AND predicted <> 'contradicts'), 0)
+             / nullif(coalesce(sum(weight) FILTER (relation = 'corroborates'), 0), 0), 6) AS class_c_discrimination
+FROM folds""")
 def leave_one_out_scores(t):
     return K.fold_scores(K.leave_one_out(samples(t)))
 

@@ -109,11 +109,23 @@ def test_calibration_equals_the_full_grid(spark, seed):
     df = spark.createDataFrame(samples, "cos double, p_contra double, same_story boolean, relation string")
     row = K.calibrated(df).first()
     assert (row.gate, row.ceiling, row.contra, row.n_right) == pytest.approx(grid_search(samples))
-    folds = {(r.cos, r.p_contra, r.same_story, r.relation): (r.gate, r.ceiling, r.contra, r.predicted) for r in K.leave_one_out(df).collect()}
-    for i in (0, 7):
-        g, c, k, _ = grid_search(samples[:i] + samples[i + 1:])
-        got = folds[samples[i]]
-        assert got[:3] == pytest.approx((g, c, k)) and got[3] == K.predicted(*samples[i][:3], g, c, k)
+
+
+@pytest.mark.parametrize("seed, n, grain", [(1, 14, 2), (2, 14, 1), (3, 2, 1), (4, 1, 1)])
+def test_every_fold_equals_the_full_grid(spark, seed, n, grain):
+    """Values held by one sample alone and by several, ties, and folds without any sample."""
+    rng = random.Random(seed)
+    samples = [(round(rng.random(), grain), round(rng.random(), 1), rng.choice([True, False, None]), rng.choice(RELATIONS)) for _ in range(n)]
+    samples += samples[: n // 5]
+    df = spark.createDataFrame(samples, "cos double, p_contra double, same_story boolean, relation string")
+    folds = {(r.cos, r.p_contra, r.same_story, r.relation): r for r in K.leave_one_out(df).collect()}
+    assert len(folds) == len(set(samples))
+    for i, s in enumerate(samples):
+        rest = samples[:i] + samples[i + 1:]
+        g, c, k = grid_search(rest)[:3] if rest else K.DEFAULTS
+        got = folds[s]
+        assert (got.gate, got.ceiling, got.contra) == pytest.approx((g, c, k))
+        assert got.weight == samples.count(s) and got.predicted == K.predicted(*s[:3], g, c, k)
 
 
 # --- peers -----------------------------------------------------------------------
