@@ -208,6 +208,14 @@ def capitals_among(occurrences: Column) -> Column:
     return _without_calendar(F.transform(occurrences, _bare))
 
 
+def initial_names(text: Column) -> Column:
+    """Folded tokens that open a sentence capitalised, with a capitalised word next."""
+    opening = F.regexp_extract_all(
+        _marked(text), F.lit(f"{_ENTRY}+[A-Z][A-Za-z0-9]*(?=[^A-Za-z0-9]+[A-Z][A-Z0-9]*[a-z])"), 0
+    )
+    return _without_calendar(F.transform(opening, _bare))
+
+
 def anchor_terms(text: Column) -> Column:
     return anchors_among(notable_occurrences(text))
 

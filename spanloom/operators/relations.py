@@ -48,14 +48,16 @@ CALIBRATED = Thresholds(0.14, 0.486, 0.686)
 
 
 def _graded_postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, grade): 2 entity-grade, 1 capitalised, 0 neither."""
+    """(chunk_id, term, grade, opens): 2 entity-grade, 1 capitalised, 0 neither, and
+    whether the term opens a sentence as the first word of a name."""
     text = F.col("text")
     rows = chunks.select(
-        "chunk_id", T.terms(text).alias("all"), T.notable_occurrences(text).alias("notable")
+        "chunk_id", T.terms(text).alias("all"), T.notable_occurrences(text).alias("notable"), T.initial_names(text).alias("names")
     ).select(
-        "chunk_id", "all", T.anchors_among(F.col("notable")).alias("anchor"), T.capitals_among(F.col("notable")).alias("capital")
+        "chunk_id", "all", "names", T.anchors_among(F.col("notable")).alias("anchor"), T.capitals_among(F.col("notable")).alias("capital")
     )
-    tag = lambda terms, grade: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(grade).alias("grade")))
+    tag = lambda terms, grade: F.transform(terms, lambda t: F.struct(
+        t.alias("term"), F.lit(grade).alias("grade"), F.array_contains("names", t).alias("opens")))
     cells = F.concat(
         tag(F.array_except("all", "capital"), 0),
         tag(F.array_except(F.array_intersect("all", "capital"), F.col("anchor")), 1),
@@ -74,7 +76,7 @@ def rare_postings(chunks: DataFrame, ceiling: int | None = None) -> DataFrame:
     bound = F.lit(ceiling) if ceiling is not None else rare_ceiling(chunk_count(chunks))
     total = df.agg(F.sum("df")).scalar()
     heavy = df.where((F.col("df") > bound) & (F.col("df") > total / HEAVY_SHARE)).select("term")
-    rare = df.where((F.col("df") <= bound) & (F.col("df") >= 2)).select("term")
+    rare = df.where((F.col("df") <= bound) & (F.col("df") >= 2))
     return (
         _graded_postings(chunks)
         .join(F.broadcast(heavy), "term", "left_anti")
@@ -88,7 +90,7 @@ def story_pairs(chunks: DataFrame, ceiling: int | None = None, floor: int = STOR
     A posting list holds at most ``ceiling`` rows, so a list of length d yields
     at most d*(d-1)/2 pairs and no key is hot.
     """
-    rows = rare_postings(chunks, ceiling)
+    rows = rare_postings(chunks, ceiling).drop("df", "opens")
     left = rows.withColumnsRenamed({"chunk_id": "src", "grade": "src_grade"})
     right = rows.withColumnsRenamed({"chunk_id": "dst", "grade": "dst_grade"})
     anchored = F.greatest("src_grade", "dst_grade") == 2
@@ -102,6 +104,42 @@ def story_pairs(chunks: DataFrame, ceiling: int | None = None, floor: int = STOR
     )
 
 
+#: Which shared terms anchor a story: entity-grade on one side, on both, on both where a name
+#: may open a sentence, or on one side and at least capitalised on the other.
+ANCHOR_MODES = ("union", "inter", "inter_cap", "mixed")
+
+
+def story_evidence(pairs: DataFrame, chunks: DataFrame, ceiling: int | None = None) -> DataFrame:
+    """``pairs`` (src, dst, ...) with ``dfs``, the sorted document frequencies of the rare
+    terms both sides share, and per anchor mode the least df of a term that anchors
+    them (NULL without one): any lower ceiling can be read off the same row.
+
+    Linear in the pairs, whatever the ceiling: each chunk's rare terms come as one row.
+    """
+    tag = F.concat(F.lpad(F.col("df").cast("string"), 19, "0"), "term")
+    rows = rare_postings(chunks, ceiling).groupBy("chunk_id").agg(
+        F.collect_list(tag).alias("all"),
+        F.collect_list(F.when(F.col("grade") == 2, tag)).alias("entity"),
+        F.collect_list(F.when(F.col("grade") >= 1, tag)).alias("capital"),
+        F.collect_list(F.when((F.col("grade") == 2) | F.col("opens"), tag)).alias("name"),
+    )
+    kinds = ("all", "entity", "capital", "name")
+    side = lambda key: rows.select(F.col("chunk_id").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in kinds])
+    both = pairs.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    meet = lambda a, b: F.array_intersect(f"src_{a}", f"dst_{b}")
+    df = lambda t: F.substring(t, 1, 19).cast("bigint")
+    shared = both.withColumn("shared", meet("all", "all"))
+    anchors = {
+        "union": F.array_intersect("shared", F.array_union("src_entity", "dst_entity")),
+        "inter": meet("entity", "entity"), "inter_cap": meet("name", "name"),
+        "mixed": F.array_union(meet("entity", "capital"), meet("capital", "entity")),
+    }
+    return shared.select(
+        *pairs.columns, F.coalesce(F.transform(F.array_sort("shared"), df), F.array().cast("array<bigint>")).alias("dfs"),
+        *[df(F.array_min(anchors[m])).alias(m) for m in ANCHOR_MODES],
+    )
+
+
 def _idf_of_tag(tag: Column, n: Column) -> Column:
     return smoothed_idf(F.substring_index(tag, "|", -1).cast("bigint"), n)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration as K
 from ..operators import labels as L
+from ..operators import relations as X
 from . import dialect as D
 from . import relating
 from .registry import query
@@ -290,13 +291,31 @@ def leave_one_out_scores(t):
     return K.fold_scores(K.leave_one_out(samples(t)))
 
 
-@query("story_sweep", D.with_(*relating.TYPED) + """
-SELECT f AS story_floor, a AS require_anchor,
-       count(*) FILTER (rare_shared >= f AND (NOT a OR anchored) AND gold) AS tp,
-       count(*) FILTER (rare_shared >= f AND (NOT a OR anchored) AND NOT gold) AS fp,
-       count(*) FILTER (NOT (rare_shared >= f AND (NOT a OR anchored)) AND gold) AS fn
-FROM (SELECT *, score >= 0.3 AS gold FROM scored) s, (VALUES (2), (3), (4)) x(f), (VALUES (true), (false)) y(a) GROUP BY 1, 2""")
+SWEPT = f"""occ AS (
+  SELECT chunk_id, {D.occurrences('text')} AS o FROM chunks),
+names AS (
+  SELECT DISTINCT chunk_id, {D.bare('word')} AS term FROM (
+    SELECT chunk_id, o[i] AS word, o[i + 1] AS next FROM (SELECT chunk_id, o, unnest(generate_series(1, len(o))) AS i FROM occ) x) y
+  WHERE regexp_matches(word, '^\x01+[A-Z]') AND regexp_matches(next, '^\x01*[A-Z][A-Z0-9]*[a-z]') AND {D.bare('word')} NOT IN ({D.CALENDAR})),
+marked AS (
+  SELECT g.chunk_id, g.term, g.grade, g.grade = 2 OR n.term IS NOT NULL AS named, i.df FROM graded g JOIN idf i ON i.term = g.term
+  LEFT JOIN names n ON n.chunk_id = g.chunk_id AND n.term = g.term WHERE i.df BETWEEN 2 AND 12),
+met AS (
+  SELECT s.src, s.dst, s.score >= 0.3 AS gold, a.df,
+         CASE m.mode WHEN 'union' THEN greatest(a.grade, b.grade) = 2 WHEN 'inter' THEN least(a.grade, b.grade) = 2
+                     WHEN 'inter_cap' THEN a.named AND b.named ELSE greatest(a.grade, b.grade) = 2 AND least(a.grade, b.grade) >= 1 END AS anchors, m.mode
+  FROM scored s JOIN marked a ON a.chunk_id = s.src JOIN marked b ON b.chunk_id = s.dst AND b.term = a.term,
+       (VALUES ('union'), ('inter'), ('inter_cap'), ('mixed')) m(mode)),
+outcomes AS (
+  SELECT gold, mode, f, c, n >= f AND anchored AS typed
+  FROM (SELECT src, dst, gold, mode, c, count(*) FILTER (df <= c) AS n, coalesce(bool_or(anchors) FILTER (df <= c), false) AS anchored
+        FROM met, (VALUES (4), (6), (7), (9), (12)) y(c) GROUP BY ALL) z, (VALUES (2), (3), (4)) x(f))"""
+
+
+@query("story_sweep", D.with_(D.CHUNKS, D.POSTINGS, D.IDF, relating.GRADED, relating.STORY, relating.SCORED, SWEPT) + """
+SELECT f AS story_floor, c AS ceiling, mode AS anchor_mode, count(*) FILTER (typed AND gold) AS tp, count(*) FILTER (typed AND NOT gold) AS fp,
+       count(*) FILTER (NOT typed AND gold) AS fn FROM outcomes GROUP BY 1, 2, 3""")
 def story_sweep(t):
-    rows = relating.pair_relatedness(t)
-    shared = relating.story_pairs(t)
-    return K.story_sweep(shared.join(rows, ["src", "dst"]).withColumn("gold", F.col("score") >= 0.3))
+    """Every floor, ceiling and anchor mode over the story pairs, whose relatedness stands for gold."""
+    rows = X.story_evidence(relating.pair_relatedness(t), t.chunks, relating.CEILING)
+    return K.story_sweep(rows.withColumn("gold", F.col("score") >= 0.3))
