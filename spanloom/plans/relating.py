@@ -10,6 +10,7 @@ from ..operators import admission as A
 from ..operators import relations as X
 from ..operators import retrieval as R
 from ..operators import scan as N
+from ..session import durable
 from . import dialect as D
 from .registry import query
 
@@ -36,13 +37,54 @@ scored AS (
   JOIN (SELECT s.src, s.dst, sum(i.idf) AS shared FROM story s
         JOIN postings a ON a.chunk_id = s.src JOIN postings b ON b.chunk_id = s.dst AND b.term = a.term
         JOIN idf i ON i.term = a.term GROUP BY 1, 2) x ON x.src = s.src AND x.dst = s.dst)"""
+CONTENTS = f"""contents AS (
+  SELECT sha256(text) AS h, min(chunk_id) AS chunk_id, count(*) AS copies, any_value(text) AS text FROM chunks GROUP BY 1),
+cposts AS (SELECT chunk_id, copies, unnest({D.terms('text')}) AS term FROM contents),
+cidf AS (
+  SELECT term, ln(((SELECT count(*) FROM chunks) + 1) / (sum(copies) + 1)) + 1 AS idf FROM cposts GROUP BY 1),
+cmass AS (SELECT p.chunk_id, max(p.copies) AS copies, sum(i.idf) AS mass FROM cposts p JOIN cidf i ON i.term = p.term GROUP BY 1),
+related AS (
+  SELECT x.src, x.dst, round(least(1.0, x.shared / least(a.mass, b.mass)), 6) AS score,
+         a.copies AS src_copies, b.copies AS dst_copies
+  FROM (SELECT a.chunk_id AS src, b.chunk_id AS dst, sum(i.idf) AS shared
+        FROM cposts a JOIN cposts b ON b.term = a.term AND a.chunk_id < b.chunk_id JOIN cidf i ON i.term = a.term
+        GROUP BY 1, 2) x
+  JOIN cmass a ON a.chunk_id = x.src JOIN cmass b ON b.chunk_id = x.dst
+  WHERE round(least(1.0, x.shared / least(a.mass, b.mass)), 6) >= {FLOOR})"""
+NEIGHBOURS = 15       # vector neighbours a chunk brings to the scan
+NEAR = f"""sims AS (
+  SELECT a.vec_id::VARCHAR AS x, b.vec_id::VARCHAR AS y,
+         round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
+               / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
+               / sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS sim
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+near AS (
+  SELECT x, y FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) AS rn FROM sims) r
+  WHERE rn <= {NEIGHBOURS} AND sim >= 0.14),
+pruned AS (SELECT src, dst FROM related UNION SELECT least(x, y), greatest(x, y) FROM near)"""
+WEIGHED = """mass AS (
+  SELECT p.chunk_id, sum(i.idf) AS mass FROM postings p JOIN idf i ON i.term = p.term GROUP BY 1),
+rare_marked AS (
+  SELECT g.* FROM graded g JOIN idf i ON i.term = g.term WHERE i.df BETWEEN 2 AND greatest(2, (SELECT count(*) FROM chunks) // 30)),
+evidence AS (
+  SELECT a.chunk_id AS src, b.chunk_id AS dst, count(*) AS rare_shared,
+         bool_or(greatest(a.grade, b.grade) = 2 AND least(a.grade, b.grade) >= 1) AS anchored
+  FROM rare_marked a JOIN rare_marked b ON b.term = a.term AND a.chunk_id < b.chunk_id GROUP BY 1, 2),
+weighed AS (
+  SELECT p.src, p.dst, coalesce(e.rare_shared >= 2 AND e.anchored, false) AS story,
+         round(least(1.0, coalesce(x.shared, 0) / least(ma.mass, mb.mass)), 6) AS score
+  FROM pruned p JOIN mass ma ON ma.chunk_id = p.src JOIN mass mb ON mb.chunk_id = p.dst
+  LEFT JOIN evidence e ON e.src = p.src AND e.dst = p.dst
+  LEFT JOIN (SELECT p.src, p.dst, sum(i.idf) AS shared FROM pruned p
+        JOIN postings a ON a.chunk_id = p.src JOIN postings b ON b.chunk_id = p.dst AND b.term = a.term
+        JOIN idf i ON i.term = a.term GROUP BY 1, 2) x ON x.src = p.src AND x.dst = p.dst)"""
 SIGNALS = """signals AS (
   SELECT s.src, s.dst, s.score AS cos, round(1 - s.score, 6) AS p_contra,
-         CASE WHEN a.eval_layer = b.eval_layer THEN s.anchored END AS same_story,
+         CASE WHEN a.eval_layer = b.eval_layer THEN s.story END AS same_story,
          CASE WHEN la.quality IS NULL OR lb.quality IS NULL THEN NULL
               WHEN la.toxic <> lb.toxic THEN 'partial' WHEN la.quality <> lb.quality THEN 'conflict'
               ELSE 'agreement' END AS stance
-  FROM scored s JOIN chunks a ON a.chunk_id = s.src JOIN chunks b ON b.chunk_id = s.dst
+  FROM weighed s JOIN chunks a ON a.chunk_id = s.src JOIN chunks b ON b.chunk_id = s.dst
   LEFT JOIN labels la ON la.doc_id::VARCHAR = s.src LEFT JOIN labels lb ON lb.doc_id::VARCHAR = s.dst)"""
 VERDICTS = """verdicts AS (
   SELECT *, CASE
@@ -62,7 +104,7 @@ assessed AS (
          CASE WHEN (v[1] = 'contradicts' AND v[2] = 'band') OR v[2] = 'gate' OR same_story = false
               THEN cos ELSE p_contra END AS confidence
   FROM verdicts)"""
-TYPED = (D.CHUNKS, D.POSTINGS, D.IDF, GRADED, STORY, SCORED, SIGNALS, VERDICTS)
+TYPED = (D.CHUNKS, D.POSTINGS, D.IDF, GRADED, CONTENTS, NEAR, WEIGHED, SIGNALS, VERDICTS)
 
 
 # --- pairs -------------------------------------------------------------------
@@ -85,22 +127,6 @@ def pair_relatedness(t):
     return X.pair_relatedness(story_pairs(t), t.chunks).select("src", "dst", "score")
 
 
-CONTENTS = f"""contents AS (
-  SELECT sha256(text) AS h, min(chunk_id) AS chunk_id, count(*) AS copies, any_value(text) AS text FROM chunks GROUP BY 1),
-cposts AS (SELECT chunk_id, copies, unnest({D.terms('text')}) AS term FROM contents),
-cidf AS (
-  SELECT term, ln(((SELECT count(*) FROM chunks) + 1) / (sum(copies) + 1)) + 1 AS idf FROM cposts GROUP BY 1),
-cmass AS (SELECT p.chunk_id, max(p.copies) AS copies, sum(i.idf) AS mass FROM cposts p JOIN cidf i ON i.term = p.term GROUP BY 1),
-related AS (
-  SELECT x.src, x.dst, round(least(1.0, x.shared / least(a.mass, b.mass)), 6) AS score,
-         a.copies AS src_copies, b.copies AS dst_copies
-  FROM (SELECT a.chunk_id AS src, b.chunk_id AS dst, sum(i.idf) AS shared
-        FROM cposts a JOIN cposts b ON b.term = a.term AND a.chunk_id < b.chunk_id JOIN cidf i ON i.term = a.term
-        GROUP BY 1, 2) x
-  JOIN cmass a ON a.chunk_id = x.src JOIN cmass b ON b.chunk_id = x.dst
-  WHERE round(least(1.0, x.shared / least(a.mass, b.mass)), 6) >= {FLOOR})"""
-
-
 @query("related_pairs", D.with_(D.CHUNKS, CONTENTS) + "SELECT src, dst, score, src_copies, dst_copies FROM related")
 def related_pairs(t):
     return X.related_pairs(t.chunks, FLOOR)
@@ -117,10 +143,29 @@ def relatedness_gate_counts(t):
 # --- typing ------------------------------------------------------------------
 
 
+def near_pairs(t):
+    """Vector neighbours past the gate."""
+    asked = t.vectors.select(F.col("chunk_id").cast("bigint").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = R.dense_candidates(asked, t.vectors, NEIGHBOURS + 1).where(F.col("query_id").cast("string") != F.col("chunk_id"))
+    near = R.top_per_query(found, NEIGHBOURS, F.col("similarity").desc(), F.col("chunk_id"))
+    x, y = F.col("query_id").cast("string"), F.col("chunk_id")
+    return near.where(F.col("similarity") >= X.CALIBRATED.gate).select(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")).distinct()
+
+
+def scan_pairs(t):
+    """(src, dst, score) of every pair stage one keeps; only neighbours by vector alone
+    are scored here, the others bring the score they were found with."""
+    related = durable(related_pairs(t).select("src", "dst", "score"))
+    alone = near_pairs(t).join(related, ["src", "dst"], "left_anti")
+    return related.unionByName(X.pair_relatedness(alone, t.chunks).select("src", "dst", "score"))
+
+
 def signals(t):
-    """Pair signals: relatedness stands in for cosine and its complement for the
-    NLI score; story evidence exists within one language; labels give the stance."""
-    scored = X.pair_relatedness(story_pairs(t), t.chunks)
+    """Pair signals of all pairs stage one keeps: relatedness stands in for cosine and its
+    complement for the NLI score; story evidence, a flag, exists within one language;
+    labels give the stance."""
+    scored = X.story_evidence(scan_pairs(t), t.chunks).withColumn(
+        "story", (F.size("dfs") >= X.STORY_FLOOR) & F.col("mixed").isNotNull())
     labels = t.table("labels").select(F.col("doc_id").cast("string").alias("chunk_id"), "quality", "toxic")
     facts = t.chunks.select("chunk_id", "eval_layer").join(labels, "chunk_id", "left")
     side = lambda key: facts.select(
@@ -130,7 +175,7 @@ def signals(t):
     rows = scored.join(side("src"), "src").join(side("dst"), "dst")
     return rows.select(
         "src", "dst", F.col("score").alias("cos"), F.round(1 - F.col("score"), 6).alias("p_contra"),
-        F.when(F.col("src_layer") == F.col("dst_layer"), F.col("anchored")).alias("same_story"),
+        F.when(F.col("src_layer") == F.col("dst_layer"), F.col("story")).alias("same_story"),
         F.when(F.col("src_quality").isNull() | F.col("dst_quality").isNull(), F.lit(None))
         .when(F.col("src_toxic") != F.col("dst_toxic"), "partial")
         .when(F.col("src_quality") != F.col("dst_quality"), "conflict")
@@ -313,27 +358,10 @@ def corpus_scan_counts(t):
     return A.code_counts(N.admitted_scan(proposed, t.chunks, scan_entailment(t)))
 
 
-NEIGHBOURS = 15       # vector neighbours a chunk brings to the scan
-
-
-@query("pruned_pairs", D.with_(D.CHUNKS, CONTENTS, f"""sims AS (
-  SELECT a.vec_id::VARCHAR AS x, b.vec_id::VARCHAR AS y,
-         round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
-               / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
-               / sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS sim
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
-near AS (
-  SELECT x, y FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) AS rn FROM sims) r
-  WHERE rn <= {NEIGHBOURS} AND sim >= 0.14)""") + """
-SELECT src, dst FROM related UNION SELECT least(x, y), greatest(x, y) FROM near""")
+@query("pruned_pairs", D.with_(D.CHUNKS, CONTENTS, NEAR) + "SELECT src, dst FROM pruned")
 def pruned_pairs(t):
     """Pairs above the relatedness floor, or vector neighbours past the gate."""
-    asked = t.vectors.select(F.col("chunk_id").cast("bigint").alias("query_id"), F.col("vector").alias("query_vector"))
-    found = R.dense_candidates(asked, t.vectors, NEIGHBOURS + 1).where(F.col("query_id").cast("string") != F.col("chunk_id"))
-    near = R.top_per_query(found, NEIGHBOURS, F.col("similarity").desc(), F.col("chunk_id"))
-    x, y = F.col("query_id").cast("string"), F.col("chunk_id")
-    near = near.where(F.col("similarity") >= X.CALIBRATED.gate).select(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
-    return N.pruned(related_pairs(t), near)
+    return N.pruned(related_pairs(t), near_pairs(t))
 
 
 # --- admission ---------------------------------------------------------------
