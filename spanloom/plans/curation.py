@@ -193,7 +193,8 @@ def authored_ranks(t):
 # --- calibration -------------------------------------------------------------
 
 SAMPLES = """samples AS (
-  SELECT round(cos, 2) AS cos, round(p_contra * 0.7 + CASE WHEN la.quality = 1 THEN 0.2 ELSE 0 END, 1) AS p_contra, same_story,
+  SELECT ((round(cos * 1e6)::BIGINT + 5000) // 10000) / 100.0::DOUBLE AS cos,
+         ((round(p_contra * 1e6)::BIGINT * 7 + CASE WHEN la.quality = 1 THEN 2000000 ELSE 0 END + 500000) // 1000000) / 10.0::DOUBLE AS p_contra, same_story,
          CASE stance WHEN 'conflict' THEN 'contradicts' WHEN 'agreement' THEN 'corroborates' WHEN 'partial' THEN 'related_untyped' ELSE 'unrelated' END AS relation
   FROM signals s LEFT JOIN labels la ON la.doc_id::VARCHAR = s.src),
 cells AS (SELECT cos, p_contra, same_story, relation, count(*) AS w FROM samples GROUP BY ALL),
@@ -214,12 +215,15 @@ graded AS (
 
 
 def samples(t):
-    """Signals with both scores rounded; the pair's stance gives the gold relation."""
+    """Signals with both scores rounded (in whole millionths, so that halves round alike
+    everywhere); the pair's stance gives the gold relation."""
+    millionths = lambda c: F.round(F.col(c) * 1_000_000).cast("bigint")
+    raised = F.when(F.col("quality") == 1, 2_000_000).otherwise(0)
     quality = t.table("labels").select(F.col("doc_id").cast("string").alias("src"), "quality")
     stance = F.col("stance")
     return relating.signals(t).join(quality, "src", "left").select(
-        F.round("cos", 2).alias("cos"),
-        F.round(F.col("p_contra") * 0.7 + F.when(F.col("quality") == 1, 0.2).otherwise(0.0), 1).alias("p_contra"),
+        (F.floor((millionths("cos") + 5_000) / 10_000) / 100.0).alias("cos"),
+        (F.floor((millionths("p_contra") * 7 + raised + 500_000) / 1_000_000) / 10.0).alias("p_contra"),
         "same_story",
         F.when(stance == "conflict", "contradicts").when(stance == "agreement", "corroborates")
         .when(stance == "partial", "related_untyped").otherwise("unrelated").alias("relation"),
