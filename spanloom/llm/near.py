@@ -10,7 +10,8 @@ Candidates are then confirmed on the full shingle sets.
 
 Equal sets are folded first.  In each index bucket a star joins all members to one
 of them; only members that stars leave in different components are compared with
-each other, in blocks, so a large group of copies costs rows in proportion.
+each other.  Blocks of these meet in one task, which compares, confirms and hands
+on only links that join two components, never the pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ ERRORS = 1
 #: CHUNKS * (ERRORS + 1) - 1
 DISTANCE = 29
 BLOCK = 256
+#: Shingles of a block; a longer text is a block of its own.
+BLOCK_SHINGLES = 1_000_000
 #: Signature pairs compared at once.
 PAIRS = 50_000
 
@@ -225,59 +228,101 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -
     return sent.groupBy("group", "part").applyInArrow(confirm, f"a {kind}, b {kind}")
 
 
-def _rest(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different components, within the distance.
+def _meetings(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(low, high, node, component, block): the nodes that two blocks compare.
 
-    A bucket's members are dealt to blocks of about BLOCK; each two blocks meet in
-    one task, where signatures are compared as matrices.  A pair leaves the one
-    bucket that is first in the order of the keys the two share.
+    A node lives in one block only, among those whose most crowded bucket is its
+    own; two blocks meet when some bucket has members in both, and a node is sent
+    there when one of its own buckets is such.  So a pair meets exactly once,
+    however many keys it shares, and a block is bounded in nodes and shingles.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    homes = members.join(sizes, "key").groupBy("node").agg(
+        F.max_by("key", F.struct("n", "key")).alias("home"), F.first("component").alias("component"))
+    weighed = durable(homes.join(sets.groupBy("node").agg(F.sum("n_shingles").alias("weight")), "node"))
+    blocks = weighed.groupBy("home").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("weight") / F.lit(BLOCK_SHINGLES))).alias("blocks"))
+    placed = weighed.join(blocks, "home").select(
+        "node", "component", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    rows = durable(members.select("key", "node").join(placed, "node"))
+    present = rows.select("key", F.col("block").alias("other")).distinct()
+    return rows.join(present, "key").select(
+        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component", "block"
+    ).distinct()
+
+
+def _unsettled(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Rows of :func:`_meetings` that have a partner of another component within the distance.
+
+    Signatures are compared as matrices; what leaves a task are nodes, not pairs.
     """
     kind = dict(members.dtypes)["node"]
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")),
-    )
-    meeting = dealt.select("key", "node", "component", "block", F.explode(others).alias("at")).select(
-        "key", "node", "component", "block", "at.i", "at.j"
-    ).join(sets.select("node", "n_shingles", "signature"), "node")
+    meeting = _meetings(members, sets).join(sets.select("node", "n_shingles", "signature"), "node").select(
+        "low", "high", "node", "component", "block", "n_shingles", "signature")
 
     def compare(batches):
-        for rows in _whole_groups(batches, ("key", "i", "j")):
-            key, i, j, block, size, part = (
-                rows[c].to_numpy() for c in ("key", "i", "j", "block", "n_shingles", "component"))
+        for rows in _whole_groups(batches, ("low", "high")):
+            low, high, part, block, size = (rows[c].to_numpy() for c in ("low", "high", "component", "block", "n_shingles"))
             matrix = _matrix(rows["signature"])
-            new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-            first = np.flatnonzero(new)
-            end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
-            found_a, found_b = [np.zeros(0, int)], [np.zeros(0, int)]
-            later = end - np.arange(len(key)) - 1  # every row meets those after it in its group
-            total = np.cumsum(later)
-            for at in np.split(np.arange(len(key)), np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS))):
+            first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+            end = np.repeat(np.append(first[1:], len(low)), np.diff(np.append(first, len(low))))
+            later = end - np.arange(len(low)) - 1  # every row meets those after it in its group
+            total, wanted = np.cumsum(later), np.zeros(len(low), bool)
+            for at in np.split(np.arange(len(low)), np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS))):
                 x = np.repeat(at, later[at])
                 y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later[at]) - later[at], later[at])
-                keep = (part[x] != part[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
+                keep = (part[x] != part[y]) & ((low[x] == high[x]) | (block[x] != block[y]))
                 keep &= 100 * np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
                 x, y = x[keep], y[keep]
-                keep = (matrix[x] != matrix[y]).sum(1) <= DISTANCE
-                found_a.append(x[keep])
-                found_b.append(y[keep])
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            if len(a):
-                used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-                keys, here = index_keys(matrix[used]).view(np.int64), np.zeros(len(a), bool)
-                for at in range(0, len(a), PAIRS):
-                    own = keys[place[at : at + PAIRS][: len(a) - at]]
-                    same = own == keys[place[len(a) + at : len(a) + at + PAIRS]]
-                    here[at : at + PAIRS] = own[np.arange(len(own)), same.argmax(1)] == key[a[at : at + PAIRS]]
-                a, b = a[here], b[here]
-            yield pa.RecordBatch.from_arrays(
-                [rows["node"].combine_chunks().take(pa.array(x)) for x in (a, b)], ["a", "b"])
+                near = (matrix[x] != matrix[y]).sum(1) <= DISTANCE
+                wanted[x[near]] = wanted[y[near]] = True
+            yield from rows.filter(pa.array(wanted)).select(list(range(5))).to_batches()
+
+    return meeting.repartition("low", "high").sortWithinPartitions("low", "high").mapInArrow(
+        compare, f"low long, high long, node {kind}, component {kind}, block long").distinct()
+
+
+def _joining(rows: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """Links (a, b) that join components, confirmed on the full sets of ``rows`` (:func:`_unsettled`).
+
+    Two blocks' texts come to one task, which compares and confirms: it starts
+    from the known components, passes over pairs already joined, and hands on at
+    most one link less than it has components, however many pairs are alike.
+    """
+    kind = dict(docs.dtypes)["node"]
+    # rows that repeat a doc_id may hold other texts; a pair of any two of them counts
+    texts = docs.join(rows.select(F.col("node").alias("w")).distinct(), F.col("node") == F.col("w"), "left_semi").distinct()
+
+    def confirm(rows):
+        hashes, first = shingle_hashes(Words(rows["text"].combine_chunks(), NOT_SPACE), width)
+        matrix, size = signatures(hashes, first), np.diff(first)
+        node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
+        one = bool(rows["low"][0].as_py() == rows["high"][0].as_py())
+        _, part = np.unique(rows["component"].to_numpy(), return_inverse=True)
+        _, shingle = np.unique(hashes, return_inverse=True)
+        marked = np.zeros(len(hashes) + 1, bool)
+        full = np.flatnonzero(size)  # a repeated doc_id may have an empty text as well
+        a, b = [], []
+        for x in full:
+            y = full[full > x]
+            y = y[(part[y] != part[x]) & (one | (block[y] != block[x]))]
+            y = y[100 * np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])]
+            y = y[(matrix[y] != matrix[x]).sum(1) <= DISTANCE]
+            if not len(y):
+                continue
+            own = shingle[first[x] : first[x + 1]]
+            marked[own] = True
+            both = np.array([np.count_nonzero(marked[shingle[first[k] : first[k + 1]]]) for k in y])
+            marked[own] = False
+            for k in y[100 * both >= similarity * (size[x] + size[y] - both)]:
+                if part[k] != part[x]:
+                    part[part == part[k]] = part[x]
+                    a.append(x)
+                    b.append(k)
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])}) if a else pa.table(
+            {"a": pa.array([], rows.schema.field("node").type), "b": pa.array([], rows.schema.field("node").type)})
 
-    pairs = meeting.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        compare, f"a {kind}, b {kind}")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    return rows.join(texts, "node").groupBy("low", "high").applyInArrow(confirm, f"a {kind}, b {kind}")
 
 
 def _whole_groups(batches, columns, rows: int = 4096):
@@ -326,17 +371,13 @@ def _weights(buckets: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's members with a centre of another component.
+    """Pairs (a, b) of each bucket's members with its centre, the heaviest, the least of several.
 
-    ``members`` holds key, node, component and weight.  The centre is the
-    heaviest member, the least of several, that is not in the component of the
-    heaviest of all; where every member is still alone, the heaviest of all.
+    ``members`` holds key, node and weight.
     """
-    best = F.max_by(F.struct("node", "component"), F.struct("weight", (-F.col("node")).alias("early")))
-    first = members.groupBy("key").agg(best.alias("f"), F.countDistinct("component").alias("parts"), F.count("*").alias("n"))
-    apart = members.join(first, "key").where((F.col("parts") == F.col("n")) | (F.col("component") != F.col("f.component")))
-    centres = apart.groupBy("key").agg(best.alias("c")).select("key", "c.node", "c.component").toDF("key", "centre", "own")
-    return members.join(centres, "key").where(F.col("component") != F.col("own")).select(
+    best = F.max_by("node", F.struct("weight", (-F.col("node")).alias("early")))
+    centres = members.groupBy("key").agg(best.alias("centre"))
+    return members.join(centres, "key").where("node <> centre").select(
         F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
 
 
@@ -358,7 +399,7 @@ def _dealt(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     return both.select("a", "b", low["c"].alias("group"), F.xxhash64(low["k"], high["c"], high["k"]).alias("part"))
 
 
-def grouped(docs: DataFrame, width: int = 4, similarity: int = 80, stars: int = 3) -> DataFrame:
+def grouped(docs: DataFrame, width: int = 4, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id an integer).
 
     Documents are linked when ``100 * intersection >= similarity * union`` of their
@@ -379,23 +420,13 @@ def grouped(docs: DataFrame, width: int = 4, similarity: int = 80, stars: int =
 
     weights = durable(_weights(buckets))
 
-    links = tried = None
-    members = buckets.withColumn("component", F.col("node"))
-    for _ in range(stars):
-        pairs = _stars(members.join(weights, "node"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = durable(_within(durable(pairs), sets, similarity))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        clusters = durable(components(tried))
-        new = durable(_confirmed(_dealt(pairs, clusters), texts, width, similarity))
-        links = new if links is None else links.unionByName(new)
-        labels = durable(components(links))
-        members = durable(_labelled(buckets, labels).join(_open(buckets, labels), "key"))
-    pairs = durable(_rest(members, sets, similarity).join(tried, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        new = _confirmed(_dealt(pairs, clusters), texts, width, similarity)
-        labels = durable(components(links.unionByName(new)))
+    pairs = durable(_within(durable(_stars(buckets.join(weights, "node"))), sets, similarity))
+    links = durable(_confirmed(_dealt(pairs, durable(components(pairs))), texts, width, similarity))
+    labels = durable(components(links))
+    members = durable(_labelled(buckets, labels).join(_open(buckets, labels), "key"))
+    rest = durable(_unsettled(members, sets, similarity))
+    if not rest.isEmpty():
+        labels = durable(components(links.unionByName(_joining(rest, texts, width, similarity))))
     of_set = sets.select("print_a", "print_b", "n_shingles", "node").join(labels, "node", "left").select(
         "print_a", "print_b", "n_shingles", F.coalesce("component", "node").alias("component")
     )

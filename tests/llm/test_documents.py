@@ -287,6 +287,42 @@ def test_repeated_passages_repeated_and_null_ids(spark):
         ("1", text.encode()), ("1", text.encode()), ("2", b"prepost"), ("None", b"")]
 
 
+def test_chains_of_edited_copies_in_one_bucket(spark):
+    """Two chains of 1,000 ever more edited copies of one text, linked step by step but not
+    with each other, and a clean document."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for chain in range(2):
+        words = list(base)
+        if chain:  # no set of this chain is alike to one of the other
+            words[10:70:6] = [f"x{k}" for k in range(10)]
+        fixed = set(range(10, 70, 6))
+        for i in range(1000):
+            rows.append((10_000 * chain + i, " ".join(words)))
+            place = rng.choice([k for k in range(80) if k not in fixed])
+            words[place] = f"{words[place].split('-')[0]}-{rng.randrange(4)}"
+    rows.append((90_000, " ".join(f"other{k}" for k in range(60))))
+    sets = {i: {tuple(text.split()[k : k + 4]) for k in range(len(text.split()) - 3)} for i, text in rows}
+    alike = lambda x, y: 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
+    assert not any(alike(x, y) for x in sets if x < 10_000 for y in sets if 10_000 <= y < 90_000)
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    ids = sorted(sets)
+    for chain in (ids[:1000], ids[1000:2000]):
+        for k, x in enumerate(chain):
+            for y in chain[k + 1 :]:
+                if root(x) != root(y) and alike(x, y):
+                    parent[max(root(x), root(y))] = min(root(x), root(y))
+    got = {r.doc_id: r.component_id for r in near.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in ids}
+
+
 def test_ranks_order_suffixes_by_bytes():
     import numpy as np
 
