@@ -17,9 +17,9 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     moved = linked.where((F.col("b") > F.col("a")) if both else (F.col("b") != F.col("m"))).select(
         F.col("b").alias("a"), F.col("m").alias("b")
     )
-    if not both:
-        moved = moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+    if both:
+        return moved.where("a <> b")  # what repeats goes with the small star
+    return moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

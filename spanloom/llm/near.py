@@ -176,7 +176,7 @@ def _within(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(
-        near, f"a {kind}, b {kind}").distinct()
+        near, f"a {kind}, b {kind}")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -184,48 +184,31 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """Links (a, b) among ``pairs`` (a, b, group, part), confirmed on the full sets.
+    """Links (a, b) among ``pairs`` (a, its centre b), confirmed on the full sets.
 
-    The texts of a part's nodes, two blocks at most, are sent to one task, each
-    once however many pairs it is in.  Pairs that the part's links connect
-    already are not confirmed again.
+    A centre's members are dealt to parts of about BLOCK; each part's texts and
+    the centre's come to one task, each once.
     """
     kind = dict(docs.dtypes)["node"]
-    ends = pairs.select("group", "part", F.col("a").alias("w"), F.col("b").alias("partner")).unionByName(
-        pairs.select("group", "part", F.col("b").alias("w"), F.lit(None).cast(kind).alias("partner"))
-    ).groupBy("group", "part", "w").agg(F.collect_list("partner").alias("partners"))
-    ends = durable(ends)
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    placed = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    ends = durable(placed.select("b", "part", F.explode(F.array("a", "b")).alias("node")).distinct())
     # rows that repeat a doc_id may hold other texts; a pair of any two of them counts
-    texts = docs.join(ends.select("w").distinct(), docs["node"] == F.col("w"), "left_semi").distinct()
-    sent = ends.join(texts, F.col("w") == F.col("node")).select("group", "part", "node", "partners", "text")
+    texts = docs.join(ends.select(F.col("node").alias("w")).distinct(), F.col("node") == F.col("w"), "left_semi").distinct()
+    sent = ends.join(texts.select("node", "text"), "node").select("b", "part", "node", "text")
 
     def confirm(rows):
         hashes, first = shingle_hashes(Words(rows["text"].combine_chunks(), NOT_SPACE), width)
-        nodes, partners = rows["node"].to_pylist(), rows["partners"].to_pylist()
-        places: dict = {}
-        for k, node in enumerate(nodes):
-            places.setdefault(node, []).append(k)
-        parent = {node: node for node in places}
+        node, centre, size = rows["node"].to_numpy(), rows["b"][0].as_py(), np.diff(first)
+        linked = np.zeros(len(node), bool)
+        for h in np.flatnonzero((node == centre) & (size > 0)):
+            total = np.append(0, np.cumsum(np.isin(hashes, hashes[first[h] : first[h + 1]])))
+            both = total[first[1:]] - total[first[:-1]]
+            linked |= (size > 0) & (100 * both >= similarity * (size + size[h] - both))
+        a = np.unique(node[linked & (node != centre)])
+        return pa.table({"a": pa.array(a), "b": pa.array(np.full(len(a), centre, node.dtype))})
 
-        def root(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        def alike(x, y):
-            both = len(np.intersect1d(hashes[first[x]:first[x + 1]], hashes[first[y]:first[y + 1]], assume_unique=True))
-            return 100 * both >= similarity * (first[x + 1] - first[x] + first[y + 1] - first[y] - both)
-
-        links = []
-        for k, node in enumerate(nodes):
-            for other in partners[k]:
-                if root(node) != root(other) and any(alike(k, y) for y in places[other]):
-                    parent[root(node)] = root(other)
-                    links.append((node, other))
-        kinds = rows.schema.field("node").type
-        return pa.table({"a": pa.array([x for x, _ in links], kinds), "b": pa.array([y for _, y in links], kinds)})
-
-    return sent.groupBy("group", "part").applyInArrow(confirm, f"a {kind}, b {kind}")
+    return sent.groupBy("b", "part").applyInArrow(confirm, f"a {kind}, b {kind}")
 
 
 def _meetings(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -236,13 +219,11 @@ def _meetings(members: DataFrame, sets: DataFrame) -> DataFrame:
     there when one of its own buckets is such.  So a pair meets exactly once,
     however many keys it shares, and a block is bounded in nodes and shingles.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    homes = members.join(sizes, "key").groupBy("node").agg(
-        F.max_by("key", F.struct("n", "key")).alias("home"), F.first("component").alias("component"))
-    weighed = durable(homes.join(sets.groupBy("node").agg(F.sum("n_shingles").alias("weight")), "node"))
-    blocks = weighed.groupBy("home").agg(F.greatest(
-        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("weight") / F.lit(BLOCK_SHINGLES))).alias("blocks"))
-    placed = weighed.join(blocks, "home").select(
+    homes = durable(members.groupBy("node").agg(
+        F.max_by("key", F.struct("n", "key")).alias("home"), F.first("component").alias("component")))
+    blocks = homes.join(sets.select("node", "n_shingles"), "node").groupBy("home").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).alias("blocks"))
+    placed = homes.join(blocks, "home").select(
         "node", "component", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
     rows = durable(members.select("key", "node").join(placed, "node"))
     present = rows.select("key", F.col("block").alias("other")).distinct()
@@ -371,32 +352,14 @@ def _weights(buckets: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's members with its centre, the heaviest, the least of several.
+    """Pairs (a, b) of each bucket's members a with its centre b, the heaviest, the least of several.
 
     ``members`` holds key, node and weight.
     """
     best = F.max_by("node", F.struct("weight", (-F.col("node")).alias("early")))
     centres = members.groupBy("key").agg(best.alias("centre"))
     return members.join(centres, "key").where("node <> centre").select(
-        F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-
-
-def _dealt(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with group and part: two blocks of the clusters they lie in.
-
-    Pairs of one neighbourhood come to the same part, whatever their number, and
-    a part holds two blocks of nodes.
-    """
-    own = F.coalesce("component", "node")
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = clusters.join(sizes, "component").select(
-        "node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    side = lambda x: placed.select(
-        F.col("node").alias(x), F.struct(own.alias("c"), F.col("block").alias("k")).alias(f"at_{x}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    at = lambda x: F.coalesce(f"at_{x}", F.struct(F.col(x).alias("c"), F.lit(0).cast("long").alias("k")))
-    low, high = F.least(at("a"), at("b")), F.greatest(at("a"), at("b"))
-    return both.select("a", "b", low["c"].alias("group"), F.xxhash64(low["k"], high["c"], high["k"]).alias("part"))
+        F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
 def grouped(docs: DataFrame, width: int = 4, similarity: int = 80) -> DataFrame:
@@ -420,10 +383,10 @@ def grouped(docs: DataFrame, width: int = 4, similarity: int = 80) -> DataFrame:
 
     weights = durable(_weights(buckets))
 
-    pairs = durable(_within(durable(_stars(buckets.join(weights, "node"))), sets, similarity))
-    links = durable(_confirmed(_dealt(pairs, durable(components(pairs))), texts, width, similarity))
+    pairs = durable(_within(_stars(buckets.join(weights, "node")), sets, similarity))
+    links = durable(_confirmed(pairs, texts, width, similarity))
     labels = durable(components(links))
-    members = durable(_labelled(buckets, labels).join(_open(buckets, labels), "key"))
+    members = durable(_open(buckets, labels))
     rest = durable(_unsettled(members, sets, similarity))
     if not rest.isEmpty():
         labels = durable(components(links.unionByName(_joining(rest, texts, width, similarity))))
@@ -437,12 +400,10 @@ def grouped(docs: DataFrame, width: int = 4, similarity: int = 80) -> DataFrame:
     )
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    return buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Keys of buckets with members in several components."""
-    return _labelled(buckets, labels).groupBy("key").agg(
-        F.min("component").alias("x"), F.max("component").alias("y")
-    ).where("x < y").select("key")
+    """(key, node, component, n) of buckets with members in several components; n is a bucket's size."""
+    marked = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = marked.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")
+    ).where("x < y").select("key", "n")
+    return marked.join(several, "key")
