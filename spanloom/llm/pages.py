@@ -158,7 +158,7 @@ class Page:
                     gap()
                 continue
             if tag in RAW:
-                close = source.lower().find(f"</{tag}", at) if len(source) < 1 << 16 else _raw_end(source, tag, at)
+                close = _raw_end(source, tag, at)
                 at = end if close < 0 else close
                 stop = source.find(">", at)
                 at = end if stop < 0 else stop + 1
@@ -236,7 +236,8 @@ class Page:
 
 
 def _raw_end(source: str, tag: str, at: int) -> int:
-    m = re.compile(f"</{tag}", re.I).search(source, at)
+    """Where the end tag of ``tag`` begins, in the source's own offsets (lower-casing may change its length)."""
+    m = re.compile(f"</{tag}", re.I | re.A).search(source, at)
     return m.start() if m else -1
 
 

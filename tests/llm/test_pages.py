@@ -146,3 +146,12 @@ def test_unlabelled_templates_follow_what_lies_nearest(spark):
 def test_unjudged_pages_of_a_table_get_both_verdicts(spark):
     given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     assert {r["verdict"] for r in urls.judged(given).where("rule IS NULL").collect()} == {"allow", "block"}
+
+
+@pytest.mark.parametrize("size", [0, 70_000])
+def test_letters_that_grow_in_lower_case_lose_no_text(spark, size):
+    """The end of a script is found in the page's own offsets, whatever the page's length."""
+    for n in (1, 20, 60):
+        html = f"<article><p>{'İ' * n}</p><script>let a = 1;</SCRIPT><p>{'next part ' * 30}</p><p>{'x' * size}</p></article>"
+        frame = spark.createDataFrame([(1, "http://x.example/p", html)], "page_id long, url string, html string")
+        assert pages.extracted(frame).first()["text"] == " ".join(filter(None, ["İ" * n, ("next part " * 30).strip(), "x" * size]))
