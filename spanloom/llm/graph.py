@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
 
+#: Edges of a task between two exchanges.
+EDGES = 50_000
+
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
     """Links every neighbour of a node to the least node of its neighbourhood:
@@ -29,14 +34,19 @@ def components(edges: DataFrame) -> DataFrame:
     few on shallow graphs.  Minima are combined before they are shuffled; the
     joins that hand them out have the unique side per node and can be split
     where a node has very many neighbours.  Each round is checkpointed.
+
+    Every task writes files of its own, however few its edges, and a round has several
+    exchanges; so what goes into one is held by as many tasks as the edges call for.
     """
     a, b = F.greatest("a", "b"), F.least("a", "b")
     now = durable(edges.where("a <> b").select(a.alias("a"), b.alias("b")).distinct())
+    tasks = max(1, ceil(now.count() / EDGES))     # a round never adds edges
+    now = now.coalesce(tasks)
     mark = None
     while True:
         # a stands for the larger end, so the small star's neighbours are the smaller ones
-        small = _star(_star(now, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False)
-        now = durable(small)
+        large = _star(now, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        now = durable(_star(large.coalesce(tasks), False).coalesce(tasks))
         # a forest of stars maps onto itself
         reached = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if reached == mark:

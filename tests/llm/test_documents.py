@@ -381,3 +381,20 @@ def test_small_batches_lose_nothing():
 
 def test_spread_keeps_rows(docs):
     assert common.spread(docs).count() == len(ROWS)
+
+
+def test_components_spread_few_edges_over_few_tasks(spark, monkeypatch):
+    """Each task leaves files behind in every round, so a chain must not take 50 of them."""
+    from spanloom.llm import graph
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long").repartition(50)
+    seen, durable = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: seen.append(durable(df)) or seen[-1])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {(r.node, r.component) for r in graph.components(edges).collect()}
+        assert all(df.rdd.getNumPartitions() == 1 for df in seen[1:])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert got == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
