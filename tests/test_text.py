@@ -43,6 +43,15 @@ def test_overlap_counts_repeats(spark):
     assert got == [2 / 3, 0.0, 0.0]
 
 
+def test_overlap_looks_words_up_in_lists_parsed_once(spark):
+    """No text may be parsed where single words are looked up."""
+    df = spark.createDataFrame([("tide rose", "the tide fell"), (None, "x"), ("x", None)], "a string, b string")
+    rows = df.select(T.overlap_share(F.col("a"), F.col("b")).alias("share"))
+    assert [r.share for r in rows.collect()] == [0.5, 0.0, 0.0]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(lambda" in plan and "array_contains(array_intersect" not in plan
+
+
 def test_best_sentence_is_a_maximum_not_a_union(spark):
     df = spark.createDataFrame([("Harbor news. Vote result.", "harbor vote")], "t string, q string")
     keys = T.keywords(F.col("q"))
