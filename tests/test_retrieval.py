@@ -197,3 +197,31 @@ def test_retrieval_manifest_hashes_the_canonical_json(spark):
             "synthesis_mode": "divergent", "edge_types": ["cites", "contradicts"], "entries": entries}
     want = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     assert got.manifest_hash == want and got.n_entries == len(entries)
+
+
+@pytest.mark.parametrize("matched", [4, 2_000_000])
+def test_chunks_are_scored_against_all_queries_in_place(spark, monkeypatch, matched):
+    """The same as a join on terms, with repeated and null ids, in pieces of any size."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice(["fox", "crow", "heron", "otter", "vole", "wren"]) for _ in range(n))
+    rows = [(f"c{i % 9}" if i else None, ". ".join(say(rng.randint(1, 4)) for _ in range(3)) + ".") for i in range(12)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string").repartition(3)
+    q = spark.createDataFrame([(1, "fox crow"), (1, "vole"), (2, "otter heron"), (None, "wren fox"), (4, "absentword")], "query_id bigint, query string")
+    monkeypatch.setattr(R, "MATCHED", matched)
+    scores = R.relevance_everywhere(chunks, q)
+    best = R.lexical_leg(q, chunks, 3, require_all=False)
+    assert "MapInArrow" in scores._jdf.queryExecution().executedPlan().toString()
+    got, top = sorted(map(tuple, scores.collect()), key=str), sorted(map(tuple, best.collect()), key=str)
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    assert got == sorted(map(tuple, R.relevance_everywhere(chunks, q).collect()), key=str)
+    assert top == sorted(map(tuple, R.lexical_leg(q, chunks, 3, require_all=False).collect()), key=str)
+
+
+def test_blunt_mode_ranks_the_corpus_once(spark, tiny, monkeypatch):
+    from spanloom.plans import search
+    from spanloom.plans.registry import Tables
+
+    scans, real = [], R.term_counts
+    monkeypatch.setattr(R, "term_counts", lambda *a: scans.append(1) or real(*a))
+    assert search.blunt_mode(Tables(spark, tiny)).count() > 0
+    assert len(scans) == 1

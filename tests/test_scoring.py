@@ -156,3 +156,31 @@ def test_summaryless_peers_follow_in_configured_order(spark):
     terms = spark.createDataFrame([("n2", "ferry", 2.0)], "node string, term string, idf double")
     got = P.ranked_peers(queries, peers, centroids, terms).orderBy("rank").collect()
     assert [r.node for r in got] == ["n2", "n1", "zz", "aa"]
+
+
+def test_noise_cases_count_every_query_of_an_edge(spark):
+    from spanloom.operators import evaluation as E
+
+    scores = [(1, "a", 0.5), (2, "a", 0.01), (None, "a", 0.9), (1, "b", 0.2), (2, "b", 0.9), (None, "b", 0.9), (1, "c", 0.9)]
+    edges = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "d"), ("c", "x")]
+    chunks = [("a", "n", "en"), ("b", "n", "en"), ("c", "s", "en"), ("d", None, "de")]
+    rows = E.noise_cases(
+        spark.createDataFrame(scores, "query_id bigint, chunk_id string, relevance double"), spark.createDataFrame(edges, "src string, dst string"),
+        spark.createDataFrame(chunks, "chunk_id string, outlet string, eval_layer string"), 0.13,
+    )
+    kind, score = {c[0]: c for c in chunks}, {s[:2]: s[2] for s in scores}
+    want = {}
+    for src, dst in edges:
+        for q, c, r in scores:
+            if c == src and dst in kind:
+                a, b = kind[src], kind[dst]
+                name = "C" if a[2] != b[2] else "E" if a[1] == b[1] else "A"
+                forced = r >= 0.13 and q is not None and score.get((q, dst), 0) >= 0.13
+                want[name, forced] = want.get((name, forced), 0) + 1
+    got = {}
+    for r in rows.collect():
+        got[r.noise_class, r.forced] = got.get((r.noise_class, r.forced), 0) + r.n
+    assert got == want
+    by_class = {r.noise_class: (r.n, r.forced_divergent, r.correct) for r in E.stress_scores(rows).collect()}
+    told = lambda name, n=lambda f: True: sum(v for (c, f), v in want.items() if c == name and n(f))
+    assert by_class == {c: (told(c), told(c, lambda f: f), told(c, lambda f: f == (c == "E"))) for c, _ in want}  # noqa: B023
