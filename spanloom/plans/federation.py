@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import peers as P
 from ..operators import retrieval as R
 from ..operators import stats
+from ..session import durable
 from . import corpus, search
 from . import dialect as D
 from .registry import query
@@ -132,7 +133,7 @@ routes AS (
 )
 
 
-def routes(t):
+def routes(t, gated=None):
     """Best relevance anywhere decides whether the local node answers; a node's
     own best relevance decides what it replies."""
     scores = R.relevance_everywhere(t.chunks, t.queries)
@@ -145,7 +146,8 @@ def routes(t):
     outcomes = scores.join(nodes, "chunk_id").groupBy("query_id", "node").agg(
         F.when(F.max("relevance") >= 0.35, "answer").otherwise("zero_cursors").alias("status")
     )
-    return P.routed(local, gated_ranking(t), outcomes)
+    # a row per query and node each, which the path reads twice
+    return P.routed(local, durable(gated_ranking(t)) if gated is None else gated, durable(outcomes))
 
 
 @query("route_first_success", D.with_(*ROUTE) + """
@@ -163,9 +165,10 @@ CLASSES = """classes AS (
 
 def outcome_rows(t):
     n = F.length("query")
-    kept = gated_ranking(t).where(F.col("rank") == 1).select("query_id", F.col("node").alias("expected_node"))
+    gated = durable(gated_ranking(t))
+    kept = gated.where(F.col("rank") == 1).select("query_id", F.col("node").alias("expected_node"))
     return (
-        routes(t).join(t.queries, "query_id").join(kept, "query_id", "left")
+        routes(t, gated).join(t.queries, "query_id").join(kept, "query_id", "left")
         .withColumn("federation_class", F.when(n < 150, "answerable").when(n < 220, "peer_only").otherwise("neither"))
         .withColumn("verified", n > 180)
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators import synthesis as S
+from ..session import durable
 from . import dialect as D
 from .registry import query
 
@@ -245,8 +246,8 @@ def relevance_floor(t):
 
 
 @query("reranked_seeds", D.with_(*hits_ctes(K_SEED, False), SEEDS) + "SELECT query_id, chunk_id, sentence_score, rank FROM seeds")
-def reranked_seeds(t):
-    hits = _seed_hits(t)
+def reranked_seeds(t, hits=None):
+    hits = durable(_seed_hits(t)) if hits is None else hits      # a few rows a query, read more than once
     rows = R.with_text(R.within_delta(hits).join(t.queries, "query_id"), t.chunks)
     return R.drop_irrelevant(R.rerank(rows)).select("query_id", "chunk_id", "sentence_score", "rank")
 
@@ -280,9 +281,14 @@ def _seed_hits(t, counts=None):
     return R.retrieve(t.vector_queries, t.chunks, t.vectors, K_SEED, require_all=False, counts=counts)
 
 
-def bundle_of(t) -> S.Bundle:
+def _hits_and_counts(t):
     counts = R.term_counts(t.chunks, R.query_terms(t.queries))
-    return S.evidence_bundle(t.queries, t.chunks, t.edges, _seed_hits(t, counts), counts=counts)
+    return durable(_seed_hits(t, counts)), counts
+
+
+def bundle_of(t, found=None) -> S.Bundle:
+    hits, counts = _hits_and_counts(t) if found is None else found
+    return S.evidence_bundle(t.queries, t.chunks, t.edges, hits, counts=counts)
 
 
 @query("edge_expansion", D.with_(*BUNDLE) + "SELECT query_id, src, dst, edge_type FROM touching")
@@ -292,7 +298,7 @@ def edge_expansion(t):
 
 @query("neighbour_chunks", D.with_(*BUNDLE) + "SELECT query_id, chunk_id FROM members WHERE NOT is_seed")
 def neighbour_chunks(t):
-    bundle_seeds = reranked_seeds(t)
+    bundle_seeds = durable(reranked_seeds(t))
     return S.neighbours(bundle_seeds, S.edges_touching(bundle_seeds, t.edges))
 
 
@@ -325,10 +331,11 @@ JOIN chunks c ON c.chunk_id = s.chunk_id
 LEFT JOIN (SELECT DISTINCT query_id FROM touching WHERE edge_type = 'contradicts') e ON e.query_id = s.query_id
 GROUP BY 1""")
 def blunt_mode(t):
-    bundle = bundle_of(t)
-    seeds = bundle_seeds(t).join(t.chunks.select("chunk_id", "doc_id", "outlet"), "chunk_id")
+    found = _hits_and_counts(t)
+    bundle = bundle_of(t, found)
+    seeds = bundle_seeds(t, found[0]).join(t.chunks.select("chunk_id", "doc_id", "outlet"), "chunk_id")
     return S.blunt_mode(seeds, bundle.edges)
 
 
-def bundle_seeds(t):
-    return reranked_seeds(t).join(_seed_hits(t).select("query_id", "chunk_id", "rrf_score"), ["query_id", "chunk_id"])
+def bundle_seeds(t, hits):
+    return reranked_seeds(t, hits).join(hits.select("query_id", "chunk_id", "rrf_score"), ["query_id", "chunk_id"])
