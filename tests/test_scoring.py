@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import calibration as K
 from spanloom.operators import claims as C
+from spanloom.operators import evaluation as E
 from spanloom.operators import labels as L
 from spanloom.operators import peers as P
+from spanloom.operators import relations as X
 
 EVIDENCE = [(0, "a", 1, "The river rose two metres overnight.", "n1"), (0, "b", 2, "Officials denied the river rose at all.", "n2")]
 
@@ -84,6 +86,48 @@ def test_residue_ranking_floats_close_contradictions(spark):
     assert got == ["c", "b", "a", "e"]       # e is past the NLI limit, d below the ceiling
 
 
+def test_labelled_pairs_go_to_the_signals(spark):
+    gold = spark.createDataFrame([(1, "t", "b", "a", "unrelated", None), (2, "t", "a", "c", "contradicts", "story")], LOG)
+    signals = spark.createDataFrame(
+        [("a", "b", 0.5, 0.5, True, None), ("b", "c", 0.9, 0.1, None, None)],
+        "src string, dst string, cos double, p_contra double, same_story boolean, stance string")
+    texts = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, text string")
+    out = L.calibration_rows(gold, texts, signals, gold.limit(0))
+    assert {(r.src, r.dst, r.cos, r.drop_reason) for r in out.collect()} == {("b", "a", 0.5, None), ("a", "c", None, "text_unresolved")}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.src, r.dst) for r in L.backlog(signals, gold).collect()] == [("b", "c")]
+
+
+def test_pairs_found_once_need_no_lookup(spark, tmp_path):
+    """Scores with and without repeated ids equal those of a join on the pair."""
+    from spanloom.plans import relating, scoring
+    from spanloom.plans.registry import Tables
+
+    words = [f"w{i}" for i in range(12)] + ["Union Yard", "Strike 42"]
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choices(words, k=8)), rng.choice("pq"), rng.choice(["en", "de"])) for i in range(14)]
+    docs += [(i, f"Union Quillan 77 Brackwater w{i} w1", "p", "en") for i in (14, 15)]
+    labels = [(i, rng.randint(0, 1), rng.randint(0, 1)) for i in range(12)] + [(14, 0, 0), (15, 1, 0)]
+    vectors = [(i, [rng.random() for _ in range(4)], 0) for i in range(14)]
+    for name, more_docs, more_labels in (("once", [], []), ("twice", [(3, "w1 w2 Strike 42 w5", "p", "de"), docs[5]], [(2, 1 - labels[2][1], 0), labels[7]])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(docs + more_docs, "doc_id bigint, text string, source string, lang string").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels + more_labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+        t = Tables(spark, folder)
+        once, several = relating.split_signals(t)
+        signals = relating.signals(t).cache()
+        gold = scoring.gold_pairs(t, signals)
+        assert (several.count() > 0) == (name == "twice") and once.count() + several.count() == signals.count()
+        typed = signals.select("src", "dst", F.coalesce("same_story", F.lit(False)).alias("typed"))
+        both = gold.withColumn("gold", F.col("relation") == "contradicts").join(typed, ["src", "dst"])
+        assert str(scoring.typed_scores(t).first()) == str(E.typed_scores(both).first())      # may be NaN
+        assert scoring.typed_scores(t).first().tp > 0
+        if name == "once":      # which of several proposals of a pair counts is open
+            want = E.gold_scores(scoring.X_seq(X.assessed(signals)), gold)
+            assert sorted(scoring.gold_scores(t).collect(), key=str) == sorted(want.collect(), key=str)
+
+
 # --- calibration -----------------------------------------------------------------
 
 RELATIONS = ("contradicts", "corroborates", "related_untyped", "unrelated")
