@@ -228,3 +228,44 @@ def test_noise_cases_count_every_query_of_an_edge(spark):
     by_class = {r.noise_class: (r.n, r.forced_divergent, r.correct) for r in E.stress_scores(rows).collect()}
     told = lambda name, n=lambda f: True: sum(v for (c, f), v in want.items() if c == name and n(f))
     assert by_class == {c: (told(c), told(c, lambda f: f), told(c, lambda f: f == (c == "E"))) for c, _ in want}  # noqa: B023
+
+
+def test_story_band_reads_the_pairs_once(spark):
+    df = spark.createDataFrame([(f"s{i % 7}", f"t{i:02d}", 0.1 * (i % 5), i % 3 > 0) for i in range(40)], "src string, dst string, p_contra double, same_story boolean")
+    want = sorted((-r.p_contra, r.src, r.dst) for r in df.collect() if r.same_story)
+    low = sorted(sorted(want, key=lambda r: (r[1], r[2]), reverse=True), key=lambda r: -r[0])
+    for cap in (5, 8):
+        got = [(-r.p_contra, r.src, r.dst) for r in L.story_band(df, cap=cap).collect()]
+        assert got == sorted(set(want[: cap // 2]) | set(low[: cap - cap // 2]))
+    plan = L.story_band(df, cap=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_lone_pairs_get_the_codes_of_the_whole_gate(spark, tmp_path, again):
+    from spanloom.operators import scan as N
+    from spanloom.plans import curation, relating
+    from spanloom.plans.registry import Tables
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(12)] + ["Union Yard", "Strike 42"]
+    docs = [(i, " ".join(rng.choices(words, k=8)), "p", rng.choice(["en", "de"])) for i in range(12)]
+    labels = [(i, rng.randint(0, 1), rng.randint(0, 1)) for i in range(10)]
+    vectors = [(i, [rng.random() for _ in range(4)], 0) for i in range(12)]
+    if again:
+        docs, labels = docs + [docs[2]], labels + [labels[4], (5, 1 - labels[5][1], 0)]
+    folder = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    t = Tables(spark, folder)
+    signals = relating.signals(t).cache()
+    proposed = N.proposals(signals, t.chunks)
+    whole = lambda more: sorted(map(tuple, N.admitted_scan(proposed, t.chunks, more).select("src", "dst", "code").distinct().collect()))
+    got = lambda rows: sorted(map(tuple, rows.select("src", "dst", "code").distinct().collect()))
+    assert got(relating.scan_codes(t)) == whole(None) != []
+    if not again:
+        scores = relating.scan_entailment(signals).select("src", "dst", "entail_ab", "entail_ba")
+        assert got(relating.scan_codes(t, relating.scan_entailment)) == whole(scores)
+    quality = t.table("labels").select(F.col("doc_id").cast("string").alias("src"), "quality")
+    assert curation.samples(t).count() == signals.join(quality, "src", "left").count()
