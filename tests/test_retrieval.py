@@ -225,3 +225,15 @@ def test_blunt_mode_ranks_the_corpus_once(spark, tiny, monkeypatch):
     monkeypatch.setattr(R, "term_counts", lambda *a: scans.append(1) or real(*a))
     assert search.blunt_mode(Tables(spark, tiny)).count() > 0
     assert len(scans) == 1
+
+
+def test_many_queries_meet_the_corpus_in_wide_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = spark.createDataFrame([(f"v{i:02d}", v.tolist()) for i, v in enumerate(rng.normal(size=(30, 4)))], "chunk_id string, vector array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 4)))], "query_id bigint, query_vector array<double>")
+    monkeypatch.setattr(R, "SIMILARITIES", 64)
+    want = sorted(map(tuple, R.top_per_query(R.dense_candidates(q, vectors, 3), 3, F.col("similarity").desc(), F.col("chunk_id")).collect()))
+    blocked = R.dense_candidates_blocked(q, vectors, 3, query_block=2, slice_rows=100, wide_block=10**6)
+    assert sorted(map(tuple, R.top_per_query(blocked, 3, F.col("similarity").desc(), F.col("chunk_id")).collect())) == want
+    cores = spark.sparkContext.defaultParallelism
+    assert f"{2 * cores - 1}" in blocked._jdf.queryExecution().logical().toString() and "199)" not in blocked._jdf.queryExecution().logical().toString()
