@@ -287,6 +287,33 @@ def test_repeated_passages_repeated_and_null_ids(spark):
         ("1", text.encode()), ("1", text.encode()), ("2", b"prepost"), ("None", b"")]
 
 
+def test_rows_dealt_out_together_come_back_whole(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = [(2**62 + 7, -5, b"abc"), (-1, 2**63 - 1, None), (3, 0, b""), (3, -(2**63), b"\x00" * 9), (-(2**63), 1, "\u00e9".encode())]
+    rows = rows + [(k, -k, None if k % 3 else b"x" * (k % 11)) for k in range(500)]
+
+    def made(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["by"], batch["ord"], batch["content"]], ["by", "ord", "content"])
+
+    frame = spark.createDataFrame(rows, "by long, ord long, content binary")
+    for most in (repeats.DEALT_ROWS, 3):
+        monkeypatch.setattr(repeats, "DEALT_ROWS", most)
+        got = repeats.dealt(frame, made, ["by", "ord"], "by", content=True)
+        told = [(r["by"], r["ord"], r["content"] and bytes(r["content"]), r["p"]) for r in got.withColumn("p", F.spark_partition_id()).collect()]
+        key = lambda r: (r[0], r[1], r[2] is None, r[2] or b"")
+        assert sorted((r[:3] for r in told), key=key) == sorted(rows, key=key)
+        assert len({(by, p) for by, _, _, p in told}) == len({by for by, *_ in told})
+        assert sorted(got.select("ord").collect()) == sorted((r[1],) for r in rows)
+    assert repeats.dealt(frame.limit(0), made, ["ord"], "by").count() == 0
+
+
+def test_runs_are_not_shuffled_row_by_row(spark, docs):
+    plan = repeats.met_runs(repeats._ordered(docs.select("doc_id", "text")))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(mark" not in plan and "Exchange" in plan
+
+
 def test_chains_of_edited_copies_in_one_bucket(spark):
     """Two chains of 1,000 ever more edited copies of one text, linked step by step but not
     with each other, and a clean document."""
